@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from .chat import op1_chat_round_trip
+from .idfiles import op9_orc_ids
+from .packing import op10_residual_packing
 from .sharding import op4_feistel_sharding
+from .tokens import op7_prefix_bpe
 
-QUERIES = {f.__name__: f for f in (op1_chat_round_trip, op4_feistel_sharding)}
+QUERIES = {f.__name__: f for f in (op1_chat_round_trip, op4_feistel_sharding, op7_prefix_bpe, op9_orc_ids, op10_residual_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
