@@ -64,15 +64,22 @@ class Words:
         return mix(total + (self.ends - self.starts).astype(np.uint64))
 
 
-def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Of each `width` consecutive values; windows that cross documents are the caller's to drop."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for weight, k in zip(_powers(_WORD_BASE, width), range(width), strict=True):
-        out += hashes[k : k + n] * weight
-    return mix(out)
+def _inverse(x: int) -> int:
+    return pow(x, -1, 1 << 64)
+
+
+class RangeHashes:
+    """Hashes of any ranges of words, from running sums of a polynomial of the mixed word hashes."""
+
+    def __init__(self, hashes: np.ndarray):
+        n = len(hashes) + 1
+        power = np.multiply.accumulate(np.append(np.uint64(1), np.full(n - 1, _WORD_BASE, np.uint64)))
+        self.back = np.multiply.accumulate(np.append(np.uint64(1), np.full(n - 1, np.uint64(_inverse(int(_WORD_BASE))), np.uint64)))
+        self.sums = np.append(np.uint64(0), np.add.accumulate(hashes * power[:-1]))
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = (end - start).astype(np.uint64)
+        return mix((self.sums[end] - self.sums[start]) * self.back[start] + mix(size))
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
