@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import op1_chat_round_trip
 from .idfiles import op9_orc_ids
+from .near import op5_order_minhash
 from .packing import op10_residual_packing
 from .quality import op8_divergence_rules
 from .secret_scan import op6_zstd_novelty
@@ -11,6 +12,6 @@ from .sharding import op4_feistel_sharding
 from .substrings import op2_relative_lempel_ziv
 from .tokens import op7_prefix_bpe
 
-QUERIES = {f.__name__: f for f in (op1_chat_round_trip, op2_relative_lempel_ziv, op4_feistel_sharding, op6_zstd_novelty, op7_prefix_bpe, op8_divergence_rules, op9_orc_ids, op10_residual_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_round_trip, op2_relative_lempel_ziv, op4_feistel_sharding, op5_order_minhash, op6_zstd_novelty, op7_prefix_bpe, op8_divergence_rules, op9_orc_ids, op10_residual_packing)}
 
 ORACLE_SQL: dict[str, str] = {}
