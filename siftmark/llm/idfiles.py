@@ -45,7 +45,7 @@ def write_ids(df: DataFrame, path: str, vocabulary: str, end_id: int, doc_id: st
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for rows in slices(batch, "text"):
-                found = [ids_of(x or "") + end for x in rows.column("text").to_pylist()]
+                found = [x + end for x in ids_of([x or "" for x in rows.column("text").to_pylist()])]
                 sizes = np.array([len(x) // 4 for x in found], np.int64)
                 before = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())

@@ -40,8 +40,9 @@ def token_pieces(df: DataFrame, capacity: int, vocabulary: str, end_id: int, doc
         for batch in batches:
             for rows in slices(batch, "text"):
                 out: list[tuple] = []
-                for doc, x in zip(rows.column("doc_id").to_pylist(), rows.column("text").to_pylist(), strict=True):
-                    ids = ids_of(x or "") + end
+                found = ids_of([x or "" for x in rows.column("text").to_pylist()])
+                for doc, ids in zip(rows.column("doc_id").to_pylist(), found, strict=True):
+                    ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         own = ids[at : at + 4 * capacity]
                         out.append((item + len(out), doc, piece, at // 4, len(own) // 4, zlib.crc32(own)))

@@ -1,9 +1,8 @@
 """Token ids of whole texts, and BPE by per-prefix dynamic programming (operator 7).
 
-Texts are cut at ASCII white space into chunks whose ids don't depend on what
-stands around them; frequent chunks are looked up, others encoded. A text with
-other white space in it is encoded as a whole where the vocabulary's pattern
-would look across the cut.
+Texts in Latin letters are cut into the vocabulary's words, whose ids are looked
+up, or made where a word is met for the first time. Other texts are left to the
+library's own normalizer and pattern.
 
 Operator 7 encodes a word by one pass over its prefixes. An Aho-Corasick
 automaton over the vocabulary gives every token that is a suffix of the prefix;
@@ -16,23 +15,39 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_WORDS = re.compile(r"[^ \t-\r]+")
-_SPACED = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+_CHUNKS = re.compile(r"[^ \t-\r]+")
 
-#: Entries of a lookup table (about 200 bytes each) at which it starts anew, and the longest chunk that it holds.
-ENTRIES = 300_000
+# The vocabularies' word patterns, written out for texts that _PLAIN finds no fault with: Latin letters
+# and ASCII white space only, no special tokens.
+_PLAIN = re.compile(r"[^\t-\r -~\xa1-\xffŒœ]|<\|")
+_L, _N = "A-Za-z\xaa\xb5\xbaÀ-ÖØ-öø-ÿŒœ", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_LOWER_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+", re.ASCII)
+_SPACED_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+", re.ASCII)
+
+#: Entries of a lookup table (about 200 bytes each) at which it starts anew, and the longest word that it holds.
+ENTRIES = 700_000
 LONGEST = 48
 
 
+def _byte_characters() -> list[str]:
+    """Byte-level vocabularies' character of every byte: visible ones stand for themselves, others follow from U+0100 on."""
+    rest = iter(range(256, 512))
+    return [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174 else chr(next(rest)) for b in range(256)]
+
+
+BYTES = _byte_characters()
+
+
 def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -40,44 +55,75 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-class ChunkTable:
-    """Values of chunks, computed by `encode` for those not met yet."""
+class WordTable:
+    """Values of words, computed by `encode` for those not met yet."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable]):
-        self.encode, self.known = encode, {}
+    def __init__(self, encode: Callable[[list[str]], Iterable], entries: int = ENTRIES):
+        self.encode, self.known, self.entries = encode, {}, entries
 
-    def values(self, chunks: list[str]) -> list:
+    def values(self, words: list[str]) -> list:
         known = self.known
-        missing = list({c for c in chunks if c not in known})
-        extra = {}
+        missing = [*set(words).difference(known)]
         if missing:
-            for c, v in zip(missing, self.encode(missing), strict=True):
-                (known if len(c) <= LONGEST else extra)[c] = v
-        out = [known[c] if c in known else extra[c] for c in chunks] if extra else [*map(known.__getitem__, chunks)]
-        if len(known) > ENTRIES:
+            known.update(zip(missing, self.encode(missing), strict=True))
+        out = [*map(known.__getitem__, words)]
+        if len(known) > self.entries:
             known.clear()
+        elif missing:
+            for w in missing:
+                if len(w) > LONGEST:
+                    del known[w]
         return out
 
 
+def by_words(texts: list[str], words_of: Callable[[str], list[str]], table: WordTable, joined: Callable[[list], object], other: Callable[[str], object]) -> list:
+    """`joined` values of each text's words, looked up for some texts at a time; `other` of texts that aren't plain."""
+    out: list = []
+    group: list[list[str] | None] = []
+    words: list[str] = []
+
+    def flush() -> None:
+        values, at = table.values(words), 0
+        for own in group:
+            out.append(joined(values[at : at + len(own)]))
+            at += len(own)
+        group.clear()
+        words.clear()
+
+    for text in texts:
+        if _PLAIN.search(text):
+            flush()
+            out.append(other(text))
+            continue
+        group.append(own := words_of(text))
+        words += own
+        if len(words) > 2000:
+            flush()
+    flush()
+    return out
+
+
 class IdBytes:
     """Ids of texts as little-endian unsigned 32-bit integers, as the tokenizers library gives them."""
 
     def __init__(self, path: str):
         self.tokenizer = load_tokenizer(path)
-        self.spaces_count = json.loads(self.tokenizer.to_str())["normalizer"] is None
-        self.table = ChunkTable(self._encoded)
+        self.lowers = json.loads(self.tokenizer.to_str())["normalizer"] is not None
+        self.table = WordTable(self._plain)
 
-    def _encoded(self, chunks: list[str]) -> list[bytes]:
-        import numpy as np
+    def _plain(self, words: list[str]) -> list[bytes]:
+        """Ids of words of the pattern, which need no normalizer or cutting: straight from the library's model."""
+        merge = self.tokenizer.model.tokenize
+        shown = [w if w.isascii() and w.isalpha() else "".join(map(BYTES.__getitem__, w.encode())) for w in words]
+        return [array("I", [x.id for x in merge(w)]).tobytes() for w in shown]
 
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [array("I", x.ids).tobytes() for x in found]
 
-    def __call__(self, text: str) -> bytes:
-        if not self.spaces_count:
-            return b"".join(self.table.values(_WORDS.findall(text)))
-        if _ODD_SPACE.search(text):
-            return self._encoded([text])[0]
-        return b"".join(self.table.values(_SPACED.findall(text)))
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        words_of = (lambda x: _LOWER_WORDS.findall(x.lower())) if self.lowers else _SPACED_WORDS.findall
+        return by_words(texts, words_of, self.table, b"".join, lambda x: self._encoded([x])[0])
 
 
 @lru_cache(maxsize=4)
@@ -119,8 +165,9 @@ class PrefixEncoder:
             self.automaton.add_word(t := self._symbols(s), (i, len(t)))
         self.automaton.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
-        self.words = ChunkTable(lambda ws: map(self.word, ws))
-        self.table = ChunkTable(lambda cs: map(self._shown, cs))
+        self.words = WordTable(lambda ws: map(self.word, ws), ENTRIES // 4)
+        self.chunks = WordTable(lambda cs: map(self._shown, map(self._ids, cs)), ENTRIES // 8)
+        self.plain = WordTable(lambda ws: map(self._shown, map(self._plain_ids, ws)), ENTRIES)
 
     def _symbols(self, token: str) -> str:
         """A token's characters; the one before the word end is moved to a plane of its own."""
@@ -185,14 +232,22 @@ class PrefixEncoder:
                 yield self.special[m[0]]
                 at = m.end()
 
-    def _shown(self, chunk: str) -> tuple[str, str]:
-        ids = [*self._ids(chunk)]
-        return " ".join(map(str, ids)), " ".join(map(self.strings.__getitem__, ids))
+    def _plain_ids(self, word: str) -> tuple[int, ...]:
+        """Ids of a word of `_LOWER_WORDS`, in lower case."""
+        return self.word(word if word.isascii() else "".join(map(BYTES.__getitem__, word.encode())))
+
+    def _shown(self, ids: Iterable[int]) -> tuple[bytes, str]:
+        ids = [*ids]
+        return array("i", ids).tobytes(), " ".join(map(self.strings.__getitem__, ids))
+
+    def __call__(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Ids as 32-bit integers, and the decoded text (without a decoder: tokens joined by one space)."""
+
+        def joined(pairs: list[tuple[bytes, str]]) -> tuple[bytes, str]:
+            return b"".join([x[0] for x in pairs]), " ".join([x[1] for x in pairs if x[0]])
 
-    def __call__(self, text: str) -> tuple[str, str]:
-        """Decimal ids joined by one space, and the decoded text (without a decoder: tokens joined by one space)."""
-        pairs = [x for x in self.table.values(_WORDS.findall(text)) if x[0]]
-        return " ".join([x[0] for x in pairs]), " ".join([x[1] for x in pairs])
+        words_of = lambda x: _LOWER_WORDS.findall(x.lower())
+        return by_words(texts, words_of, self.plain, joined, lambda x: joined(self.chunks.values(_CHUNKS.findall(x))))
 
 
 @lru_cache(maxsize=2)
@@ -212,8 +267,9 @@ def prefix_encode(df: DataFrame, path: str, text: str = "text", columns: tuple[s
         encode = prefix_encoder(path)
         for batch in batches:
             for part in slices(batch, "_text"):
-                shown = [encode(x or "") for x in part.column("_text").to_pylist()]
-                ids = pa.array([[*map(int, x.split())] for x, _ in shown], pa.list_(pa.int32()))
+                shown = encode([x or "" for x in part.column("_text").to_pylist()])
+                sizes = np.array([len(x) // 4 for x, _ in shown], np.int64)
+                ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(np.frombuffer(b"".join([x for x, _ in shown]), np.int32)))
                 kept = [part.column(c) for c in columns]
                 yield pa.RecordBatch.from_arrays([*kept, ids, pa.array([x for _, x in shown], pa.string())], [*columns, "ids", "decoded"])
 
