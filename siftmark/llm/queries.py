@@ -11,7 +11,8 @@ from .secret_scan import op6_zstd_novelty
 from .sharding import op4_feistel_sharding
 from .substrings import op2_relative_lempel_ziv
 from .tokens import op7_prefix_bpe
+from .topk import OP3_SQL, op3_norm_buckets
 
-QUERIES = {f.__name__: f for f in (op1_chat_round_trip, op2_relative_lempel_ziv, op4_feistel_sharding, op5_order_minhash, op6_zstd_novelty, op7_prefix_bpe, op8_divergence_rules, op9_orc_ids, op10_residual_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_round_trip, op2_relative_lempel_ziv, op3_norm_buckets, op4_feistel_sharding, op5_order_minhash, op6_zstd_novelty, op7_prefix_bpe, op8_divergence_rules, op9_orc_ids, op10_residual_packing)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_norm_buckets": OP3_SQL}
