@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import analytics, retrieval  # noqa: F401
+from .operators import analytics, logs, retrieval  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
