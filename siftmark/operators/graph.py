@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..catalog import deps, table
 from ..registry import query
 
-_SYMBOLS_SQL = """SELECT o_custkey AS file, o_orderkey AS symbol, o_orderkey % 200 AS first, o_orderkey % 200 + CAST(floor(o_totalprice / 10000) AS BIGINT) AS last, 's' || (o_orderkey % 400) AS name FROM orders"""
+_SYMBOLS_SQL = """SELECT o_custkey AS file, o_orderkey AS symbol, o_orderkey % 200 AS first, o_orderkey % 200 + CAST(floor(o_totalprice / 10000) AS BIGINT) AS last, 's' || (o_orderkey % 6000) AS name FROM orders"""
 _REFS_SQL = """SELECT l_suppkey * 3 AS file, l_linenumber * 17 + l_partkey % 100 AS line, 'app.mod.s' || (l_partkey % 500) || '()' AS raw, l_orderkey AS ref, l_partkey, l_linenumber FROM lineitem WHERE l_orderkey % 5 = 0"""
 
 
@@ -21,7 +21,7 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("o_orderkey")
     first = key % 200
     return table(spark, d, "orders").select(
-        F.col("o_custkey").alias("file"), key.alias("symbol"), first.alias("first"), (first + F.floor(F.col("o_totalprice") / 10000).cast("long")).alias("last"), F.expr("concat('s', o_orderkey % 400)").alias("name")
+        F.col("o_custkey").alias("file"), key.alias("symbol"), first.alias("first"), (first + F.floor(F.col("o_totalprice") / 10000).cast("long")).alias("last"), F.expr("concat('s', o_orderkey % 6000)").alias("name")
     )
 
 
@@ -61,11 +61,11 @@ def jn7(spark: SparkSession, d: str) -> DataFrame:
     return held.groupBy("file", "symbol").agg(best.alias("b")).select("file", "symbol", F.col("b.parent").alias("parent"))
 
 
-@query("jn8_reference_targets", f"""WITH s AS ({_SYMBOLS_SQL}), n AS (SELECT name, count(*) AS c FROM s WHERE symbol % 20 = 0 GROUP BY name), r AS (SELECT file, line, regexp_replace(split_part(raw, '.', -1), '[^A-Za-z0-9_]', '', 'g') AS name FROM ({_REFS_SQL}))
-SELECT r.file, s.file AS target_file, r.name, count(*) AS refs FROM r JOIN n USING (name) JOIN s ON s.name = r.name AND s.symbol % 20 = 0 WHERE c <= 3 AND r.file <> s.file GROUP BY ALL""")
+@query("jn8_reference_targets", f"""WITH s AS ({_SYMBOLS_SQL}), n AS (SELECT name, count(*) AS c FROM s GROUP BY name), r AS (SELECT file, line, regexp_replace(split_part(raw, '.', -1), '[^A-Za-z0-9_]', '', 'g') AS name FROM ({_REFS_SQL}))
+SELECT r.file, s.file AS target_file, r.name, count(*) AS refs FROM r JOIN n USING (name) JOIN s ON s.name = r.name WHERE c <= 3 AND r.file <> s.file GROUP BY ALL""")
 def jn8(spark: SparkSession, d: str) -> DataFrame:
     """Names resolved to symbols of other files; a name with more than three targets is left out."""
-    s = symbols(spark, d).where("symbol % 20 = 0")
+    s = symbols(spark, d)
     few = s.groupBy("name").agg(F.count("*").alias("c")).where("c <= 3").select("name")
     targets = s.join(few, "name").select("name", F.col("file").alias("target_file"))
     named = references(spark, d).select("file", reference_name("raw").alias("name"))
