@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import analytics, graph, logs, retrieval, review  # noqa: F401
+from .operators import analytics, graph, logs, retrieval, review, scalars  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
