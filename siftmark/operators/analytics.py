@@ -290,7 +290,7 @@ def ag26(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("ag27_confidence", """SELECT run_id, round(least(0.95, greatest(0.2, CASE run_id % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.75 ELSE 0.6 END - 0.18 * count(*) FILTER (WHERE severity = 'blocking') - 0.08 * count(*) FILTER (WHERE severity = 'important') - 0.02 * count(*) FILTER (WHERE severity = 'nit'))), 6) AS confidence FROM findings GROUP BY run_id""")
+@query("ag27_confidence", """SELECT run_id, round(CAST(least(0.95, greatest(0.2, CASE run_id % 3 WHEN 0 THEN 0.9 WHEN 1 THEN 0.75 ELSE 0.6 END - 0.18 * count(*) FILTER (WHERE severity = 'blocking') - 0.08 * count(*) FILTER (WHERE severity = 'important') - 0.02 * count(*) FILTER (WHERE severity = 'nit'))) AS DOUBLE), 6) AS confidence FROM findings GROUP BY run_id""")
 def ag27(spark: SparkSession, d: str) -> DataFrame:
     """Merge confidence: a base by risk, less a share for every finding."""
     base = F.when(F.col("run_id") % 3 == 0, 0.9).when(F.col("run_id") % 3 == 1, 0.75).otherwise(0.6)

@@ -87,7 +87,7 @@ def within_budget(df: DataFrame, by: list[str], order: list[Column], cost: str,
     return df.withColumn("running", running).where(F.col("running") <= budget)
 
 
-_NEWEST = [F.desc("ts"), F.desc("ts_nanos"), F.desc("id")]
+_NEWEST = ["ts", "ts_nanos", "id"]
 
 
 @query("wn1_log_budget", """SELECT kind, owner, id, running FROM (SELECT *, CAST(sum(bytes) OVER (PARTITION BY kind, owner ORDER BY ts DESC, ts_nanos DESC, id DESC) AS BIGINT) AS running FROM
@@ -96,7 +96,7 @@ def wn1(spark: SparkSession, d: str) -> DataFrame:
     """Logs kept under a byte budget per thread, and per process for rows without one: one window for both."""
     threadless = F.col("thread_id").isNull()
     owned = logs(spark, d).select("id", "ts", "ts_nanos", "bytes", F.when(threadless, "process").otherwise("thread").alias("kind"), F.when(threadless, F.col("process_uuid")).otherwise(F.col("thread_id").cast("string")).alias("owner"))
-    return within_budget(owned, ["kind", "owner"], _NEWEST, "bytes", 1000).select("kind", "owner", "id", "running")
+    return within_budget(owned, ["kind", "owner"], [F.desc(c) for c in _NEWEST], "bytes", 1000).select("kind", "owner", "id", "running")
 
 
 @query("wn7_soft_trim", """WITH h AS (SELECT user_id, event_id, CAST(strlen(props) + 20 AS BIGINT) AS size FROM events),

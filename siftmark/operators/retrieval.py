@@ -59,7 +59,7 @@ def cp1(spark: SparkSession, d: str) -> DataFrame:
     return top.select("id", "path", "kind", "phase", F.round("score", 9).alias("score"), "place")
 
 
-@query("cp1_all_scores", f"WITH {_SCORED} SELECT id, round(semantic, 9) AS semantic, round(lexical, 9) AS lexical, round(path_boost, 9) AS path_boost, round(rrf, 9) AS rrf, round(affinity, 9) AS affinity, round(file_anchor, 9) AS file_anchor, round(score, 9) AS score FROM z")
+@query("cp1_all_scores", f"WITH {_SCORED} SELECT id, round(semantic, 9) AS semantic, round(lexical, 9) AS lexical, round(CAST(path_boost AS DOUBLE), 9) AS path_boost, round(rrf, 9) AS rrf, round(affinity, 9) AS affinity, round(file_anchor, 9) AS file_anchor, round(score, 9) AS score FROM z")
 def cp1_all(spark: SparkSession, d: str) -> DataFrame:
     """All parts of every unit's score (CP1, CP2, CP3, CP4, SF11, JN1)."""
     parts = ["semantic", "lexical", "path_boost", "rrf", "affinity", "file_anchor", "score"]

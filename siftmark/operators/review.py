@@ -282,7 +282,7 @@ def match_in_order(new: DataFrame, old: DataFrame) -> DataFrame:
 
 @query("jn12_match_cascade")
 def jn12(spark: SparkSession, d: str) -> DataFrame:
-    c = comments(spark, d).select((F.col("id") % 60).alias("request"), "id", "ordinal", "line", "category", (F.col("line") / 40).cast("long").alias("hunk"), F.concat_ws("|", "path", "title").alias("key"))
+    c = comments(spark, d).select((F.col("id") % 45).alias("request"), "id", "ordinal", "line", "category", (F.col("line") / 40).cast("long").alias("hunk"), F.concat_ws("|", "path", "title").alias("key"))
     old = c.where("id % 2 = 0").select(*(F.col(x).alias(f"o_{x}") for x in c.columns)).toDF(*c.columns)
     return match_in_order(c.where("id % 2 = 1"), old)
 

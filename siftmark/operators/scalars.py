@@ -217,7 +217,7 @@ def sc12(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "path", "full").select("path", F.coalesce("status", F.lit("M")).alias("status"), F.expr("try_cast(added as bigint)").alias("additions"))
 
 
-@query("sf5_proximity", "SELECT l_linenumber, CAST(l_quantity AS INTEGER) AS q, round(CASE WHEN l_quantity <= 2 THEN 1.0 WHEN l_quantity <= 6 THEN 0.9 WHEN l_quantity <= 12 THEN 0.75 WHEN l_quantity <= 25 THEN 0.55 ELSE 0.3 END, 2) AS score, count(*) AS n FROM lineitem GROUP BY ALL")
+@query("sf5_proximity", "SELECT l_linenumber, CAST(l_quantity AS INTEGER) AS q, CAST(CASE WHEN l_quantity <= 2 THEN 1.0 WHEN l_quantity <= 6 THEN 0.9 WHEN l_quantity <= 12 THEN 0.75 WHEN l_quantity <= 25 THEN 0.55 ELSE 0.3 END AS DOUBLE) AS score, count(*) AS n FROM lineitem GROUP BY ALL")
 def sf5(spark: SparkSession, d: str) -> DataFrame:
     q = F.col("l_quantity").cast("int")
     return table(spark, d, "lineitem").groupBy("l_linenumber", q.alias("q"), T.line_proximity(q).alias("score")).agg(F.count("*").alias("n"))
@@ -306,7 +306,7 @@ def sf35(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("sf36_tuning_step", """WITH r AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS p, count(*) FILTER (WHERE event_type = 'error') AS n FROM events GROUP BY user_id), t AS (SELECT user_id, p, n, n / greatest(1, p + n) AS neg FROM r)
-SELECT user_id, round(greatest(0.0, least(1.0, 0.62 + CASE WHEN neg > 0.5 THEN 0.04 WHEN neg < 0.3 THEN -0.02 ELSE 0 END)), 2) AS semantic, round(greatest(0.0, least(1.0, 0.22 + CASE WHEN neg > 0.5 THEN -0.02 ELSE 0.01 END)), 2) AS lexical FROM t""")
+SELECT user_id, round(CAST(greatest(0.0, least(1.0, 0.62 + CASE WHEN neg > 0.5 THEN 0.04 WHEN neg < 0.3 THEN -0.02 ELSE 0 END)) AS DOUBLE), 2) AS semantic, round(CAST(greatest(0.0, least(1.0, 0.22 + CASE WHEN neg > 0.5 THEN -0.02 ELSE 0.01 END)) AS DOUBLE), 2) AS lexical FROM t""")
 def sf36(spark: SparkSession, d: str) -> DataFrame:
     """A step of the retrieval weights by the share of disagreeing feedback, kept in [0, 1] and rounded."""
     r = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "click").alias("p"), F.count_if(F.col("event_type") == "error").alias("n"))
