@@ -69,7 +69,7 @@ def _list(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
 
 
 def index_blocks(df: DataFrame, width: int, text: str, columns: list[str]) -> DataFrame:
-    """row (a number of its own), `columns`, n_words, packed (the compressed text) and blocks of every row."""
+    """row (a number of its own), own (a struct of `columns`), n_words, packed (the compressed text) and blocks of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -84,13 +84,14 @@ def index_blocks(df: DataFrame, width: int, text: str, columns: list[str]) -> Da
                 packed = [compress(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 own = batch.slice(at, end - at)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + end - at)), *(own.column(c) for c in columns), pa.array(np.diff(words.first)), pa.array(packed, pa.binary()), _list(block, sizes)],
-                    ["row", *columns, "n_words", "packed", "blocks"],
+                    [pa.array(np.arange(row, row + end - at)), own.column("own"), pa.array(np.diff(words.first)), pa.array(packed, pa.binary()), _list(block, sizes)],
+                    ["row", "own", "n_words", "packed", "blocks"],
                 )
                 row += end - at
 
-    schema = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
-    return df.select(*columns, F.col(text).alias("_text")).mapInArrow(run, f"row long, {schema}n_words long, packed binary, blocks array<{_BLOCK}>")
+    rows = df.select(F.struct(*columns).alias("own"), F.col(text).alias("_text"))
+    schema = rows.schema["own"].dataType.simpleString()
+    return rows.mapInArrow(run, f"row long, own {schema}, n_words long, packed binary, blocks array<{_BLOCK}>")
 
 
 def _unpacked(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, Words]]:
@@ -119,7 +120,7 @@ def _boundary_windows(df: DataFrame, width: int) -> DataFrame:
 
 
 def find_repeats(df: DataFrame, width: int = 35, text: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """row, `columns`, n_words, packed, and `repeats`: ranges (first, last, source_row, source_first) of repeating windows.
+    """row, own (a struct of `columns`), n_words, packed, and `repeats`: ranges (first, last, source_row, source_first) of repeating windows.
 
     Each range is a copied block, or a window found at a factor boundary (without a source). A null or
     empty text, or one of under `width` words, has none. Repeated rows repeat each
@@ -145,7 +146,7 @@ def find_repeats(df: DataFrame, width: int = 35, text: str = "text", columns: tu
     open_ = found.where("size(checks) > 0").join(single, "row", "left")
     none = "cast(array() as array<struct<first:int,last:int,source_row:bigint,source_first:int>>)"
     own = "transform(coalesce(places, array()), p -> named_struct('first', p, 'last', p, 'source_row', cast(null as bigint), 'source_first', cast(null as int)))"
-    out = ["row", *columns, "n_words", "packed"]
+    out = ["row", "own", "n_words", "packed"]
     closed = found.where("checks is null or size(checks) = 0").select(*out, F.expr(f"coalesce(copied, {none})").alias("repeats"))
     return closed.unionByName(open_.select(*out, F.expr(f"concat(copied, {own})").alias("repeats")))
 
@@ -167,8 +168,8 @@ def _covered(words: Words, repeats: list[dict], width: int) -> np.ndarray:
     return np.cumsum(change)[:-1] > 0
 
 
-def drop_repeats(found: DataFrame, width: int, columns: tuple[str, ...]) -> DataFrame:
-    """`columns`, n_words, n_removed, n_factors, kept_sha256 (of the kept words, joined by one space) and kept: the text
+def drop_repeats(found: DataFrame, width: int) -> DataFrame:
+    """own, n_words, n_removed, n_factors, kept_sha256 (of the kept words, joined by one space) and kept: the text
     without the repeating words and the white space after them, with the white space elsewhere as it was."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,16 +188,19 @@ def drop_repeats(found: DataFrame, width: int, columns: tuple[str, ...]) -> Data
                         edges = [0, *bounds[turn].tolist(), len(data)]
                         raw = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                     texts.append(raw.decode(errors="replace"))
-                out = [*(batch.column(c) for c in columns), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(factors, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(out, [*columns, "n_words", "n_removed", "n_factors", "kept_sha256", "kept"])
+                out = [batch.column("own"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(factors, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays(out, ["own", "n_words", "n_removed", "n_factors", "kept_sha256", "kept"])
 
-    schema = "".join(f"`{c}` {found.schema[c].dataType.simpleString()}, " for c in columns)
-    return found.select(*columns, "n_words", "packed", "repeats").mapInArrow(run, f"{schema}n_words long, n_removed long, n_factors long, kept_sha256 string, kept string")
+    schema = found.schema["own"].dataType.simpleString()
+    return found.select("own", "n_words", "packed", "repeats").mapInArrow(run, f"own {schema}, n_words long, n_removed long, n_factors long, kept_sha256 string, kept string")
 
 
 def dedup_substrings(df: DataFrame, width: int = 35, text: str = "text", columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Every row without the words of windows that repeat anywhere in the table; see `find_repeats` and `drop_repeats`."""
-    return drop_repeats(find_repeats(df, width, text, columns), width, columns)
+    """`columns` of every row with n_words, n_removed, n_factors, kept_sha256 and kept, its text without the words of windows that
+    repeat anywhere in the table; see `find_repeats` and `drop_repeats`. The new names replace columns of the same name."""
+    new = ["n_words", "n_removed", "n_factors", "kept_sha256", "kept"]
+    out = drop_repeats(find_repeats(df, width, text, columns), width)
+    return out.select(*(F.col("own")[c].alias(c) for c in columns if c not in new), *new)
 
 
 def op2_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:

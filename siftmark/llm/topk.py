@@ -23,6 +23,9 @@ RATIO, BLOCK, QUERIES, WHOLE = 1.05, 4096, 1024, 0.6
 #: Room for rounding when exact scores are compared with bounds in floating point.
 SLACK = 1e-9
 
+#: Stands for a null id among candidates, behind all others.
+NO_ID = 2**63 - 1
+
 
 def _usable(df: DataFrame, id: str, vector: str, scale: int) -> DataFrame:
     """row, id, v (integer components), norm, dims, class of the vectors without null or non-finite components."""
@@ -89,8 +92,7 @@ def _score(cells: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     def run(key: tuple, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         if len(queries) and len(vectors):
-            ids = vectors["id"].fillna(2**63 - 1).to_numpy(np.int64) if vectors["id"].isna().any() else vectors["id"].to_numpy(np.int64)
-            block = Block(vectors["row"].to_numpy(), ids, np.stack(vectors["v"].to_numpy()).astype(np.int64))
+            block = Block(vectors["row"].to_numpy(), vectors["id"].to_numpy(), np.stack(vectors["v"].to_numpy()).astype(np.int64))
             for row, id, v, norm, bound in zip(queries["row"], queries["id"], queries["v"], queries["norm"], queries["bound"], strict=True):
                 places, scores = block.best(row, np.asarray(v, np.int64), norm, bound, k)
                 found += [(row, id, int(block.ids[p]), int(s)) for p, s in zip(places, scores, strict=True)]
@@ -116,7 +118,7 @@ def top_products(df: DataFrame, is_query: str, k: int = 5, id: str = "vec_id", v
     known = F.expr(f"array({table})") if classes else F.expr("cast(array() as array<struct<dims:int,class:int,blocks:int,most:double>>)")
     own = F.expr("filter(classes, c -> c.dims = dims and c.class = class)[0].blocks")
     dealt = rows.withColumn("classes", known).withColumn("block", F.pmod(F.xxhash64("row"), own).cast("int")).drop("classes")
-    blocks = dealt.select("dims", "class", "block", "row", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("cell"))
+    blocks = dealt.select("dims", "class", "block", "row", F.coalesce("id", F.lit(NO_ID)).alias("id"), "v", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("cell"))
     # new names of the columns: the two sides of a cell must not share them
     queries = rows.where(is_query).select(*(F.col(c).alias(f"{c}_") for c in rows.columns)).toDF(*rows.columns).withColumn("cell", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(groups)).cast("int"))
     lowest = F.lit(-(2**63)).cast("long")
@@ -135,7 +137,7 @@ def top_products(df: DataFrame, is_query: str, k: int = 5, id: str = "vec_id", v
     best = _score(cells, blocks, k)
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     out = best.withColumn("rank", rank).where(F.col("rank") <= k)
-    return out.select("query_id", "rank", F.when(F.col("vec_id") < 2**63 - 1, F.col("vec_id")).alias("vec_id"), "score")
+    return out.select("query_id", "rank", F.when(F.col("vec_id") < NO_ID, F.col("vec_id")).alias("vec_id"), "score")
 
 
 def op3_norm_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
