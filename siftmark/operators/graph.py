@@ -292,3 +292,15 @@ def wn6(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "documents").where("doc_id % 10 = 0").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     near = Window.partitionBy("doc_id").orderBy("n").rowsBetween(-3, 3)
     return lines.select("doc_id", (F.col("n") + 1).alias("n"), F.sha2(F.array_join(F.collect_list("line").over(near), "\n"), 256).alias("context"))
+
+
+@query("sf34_diagram_lines", f"""WITH {_EDGES_SQL}, n AS (SELECT id FROM (SELECT from_id AS id, weight FROM w UNION ALL SELECT to_id, weight FROM w) GROUP BY id ORDER BY sum(weight) DESC, id LIMIT 18)
+SELECT '  n' || from_id || ' --> n' || to_id || CASE WHEN type = 'file_dep' THEN '' ELSE ' %% refs' END AS line FROM w WHERE from_id IN (SELECT id FROM n) AND to_id IN (SELECT id FROM n) ORDER BY weight DESC, from_id, to_id, type LIMIT 24""")
+def sf34(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a diagram: the 24 heaviest edges among the 18 heaviest nodes."""
+    e = weighted_edges(deps(spark, d))
+    ends = e.select(F.explode(F.array("from_id", "to_id")).alias("id"), "weight")
+    nodes = ends.groupBy("id").agg(F.sum("weight").alias("total")).orderBy(F.desc("total"), "id").limit(18).select("id")  # 18 rows
+    among = e.join(F.broadcast(nodes.withColumnRenamed("id", "from_id")), "from_id", "left_semi").join(F.broadcast(nodes.withColumnRenamed("id", "to_id")), "to_id", "left_semi")
+    top = among.orderBy(F.desc("weight"), "from_id", "to_id", "type").limit(24)
+    return top.select(F.concat(F.lit("  n"), "from_id", F.lit(" --> n"), "to_id", F.when(F.col("type") == "file_dep", "").otherwise(" %% refs")).alias("line"))

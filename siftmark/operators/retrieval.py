@@ -141,3 +141,13 @@ def sf12(spark: SparkSession, d: str) -> DataFrame:
 def jn1(spark: SparkSession, d: str) -> DataFrame:
     """Units with an attribute of a dimension, null where it has none."""
     return units(spark, d).select("id", "path", "is_pattern").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id", "left")
+
+
+@query("tk1_diversified_top", """WITH s AS (SELECT id, path, length(text) % 1000 + id / 100000 AS score FROM units), p AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY score DESC, id DESC) AS r FROM s),
+a AS (SELECT id FROM p WHERE r = 1 AND path IN ('src1/fr/f1.txt', 'src2/en/f0.txt', 'src3/en/f2.txt') ORDER BY score DESC, id DESC LIMIT 4), c AS (SELECT p.*, CASE WHEN a.id IS NOT NULL THEN 0 END AS anchored FROM p LEFT JOIN a USING (id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY anchored NULLS LAST, score DESC, id DESC) AS taken FROM c), h AS (SELECT *, CAST(coalesce(anchored, CASE WHEN taken <= 1 THEN 1 ELSE 2 END) AS INTEGER) AS phase FROM o)
+SELECT id, path, phase, CAST(row_number() OVER (ORDER BY phase, score DESC, id DESC) AS INTEGER) AS place FROM h ORDER BY phase, score DESC, id DESC LIMIT 12""")
+def tk1(spark: SparkSession, d: str) -> DataFrame:
+    """The twelve best units by a score, one of a path before others, with changed paths in front."""
+    scored = units(spark, d).select("id", "path", (F.length("text") % 1000 + F.col("id") / 100000).alias("score"))
+    return diversified_top(scored, 12, 1, ["src1/fr/f1.txt", "src2/en/f0.txt", "src3/en/f2.txt"]).select("id", "path", "phase", "place")
