@@ -204,4 +204,4 @@ def dedup_substrings(df: DataFrame, width: int = 35, text: str = "text", columns
 
 
 def op2_relative_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return dedup_substrings(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
