@@ -129,8 +129,11 @@ def find_repeats(df: DataFrame, width: int = 35, text: str = "text", columns: tu
     indexed = materialize(index_blocks(df, width, text, list(columns)), "blocks")
     blocks = indexed.select("row", F.explode("blocks").alias("b")).select("row", "b.*")
     keys = blocks.groupBy("key").agg(F.count("*").alias("_n"), (F.min("content") != F.max("content")).alias("mixed")).where("_n > 1")
-    shared = materialize(blocks.join(keys.drop("_n"), "key"), "shared")
+    # counted keys and contents are written before they are joined: a join right behind a shuffle can split a hot key
+    keys = materialize(keys.drop("_n"), "keys")
+    shared = materialize(blocks.join(keys.hint("merge"), "key"), "shared")
     contents = shared.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("row", "first")).alias("low"), F.max(F.struct("row", "first")).alias("high"))
+    contents = materialize(contents, "contents")
     # of blocks with the same content the lowest stands in the index, with the number of its copies
     met = shared.join(contents, ["key", "content"])
     lowest = (F.col("row") == F.col("low.row")) & (F.col("first") == F.col("low.first"))
