@@ -23,6 +23,14 @@ def clean_weight(value: float | None, other: float) -> float:
     return min(max(value, 0.0), 1.0)
 
 
+def bounded_int(value: object, other: int, least: int, most: int) -> int:
+    """A request's number within bounds, without its fraction; anything that is no finite number gives the default (TK11)."""
+    try:
+        return min(max(int(float(value)), least), most)
+    except (TypeError, ValueError, OverflowError):
+        return other
+
+
 @dataclass(frozen=True)
 class Weights:
     """The shares of the parts of a score."""
@@ -108,7 +116,7 @@ def diversified_top(df: DataFrame, k: int = 28, per_path: int = 6, changed: list
     Phase 0: the best row of each changed path, up to a third of k. Phase 1: rows in order of score while their path has
     room; anchors take up room. Phase 2: what had no room. Ties go to the larger id. A blank path has no limit.
     """
-    k, per_path = max(4, min(60, k)), max(1, min(12, per_path))
+    k, per_path = bounded_int(k, 28, 4, 60), bounded_int(per_path, 6, 1, 12)  # TK2
     order = [F.desc("score"), F.desc("id")]
     slots = min(k, max(2, -(-k // 3)))
     blank = F.coalesce("path", F.lit("")) == ""

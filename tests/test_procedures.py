@@ -9,7 +9,7 @@ from siftmark.functions import text as T
 from siftmark.operators.graph import promote_edges
 from siftmark.operators.review import changed_lines, match_in_order, publishable
 from siftmark.operators.scalars import glob_pattern
-from siftmark.plans.retrieval import clean_weight, diversified_top
+from siftmark.plans.retrieval import bounded_int, clean_weight, diversified_top
 from siftmark.plans.traversal import Limits, best_first
 from siftmark.sources.files import append_metrics, export_events, read_config, seeded, walk, write_bundle
 from siftmark.streaming.logs import event_stream, log_sink, open_items
@@ -84,6 +84,10 @@ def test_clean_weight():
     assert [clean_weight(x, 0.5) for x in (None, float("nan"), -1.0, 0.0, 0.3, 7.0)] == [0.5, 0.5, 0, 0, 0.3, 1]
 
 
+def test_bounded_int():
+    assert [bounded_int(x, 20, 1, 100) for x in ("7", 7.9, "x", None, float("inf"), -3, 1000)] == [7, 7, 20, 20, 20, 1, 100]
+
+
 def top(spark, rows, k, cap, changed=None):
     df = spark.createDataFrame(rows, "id long, path string, score double")
     return [r.id for r in diversified_top(df, k, cap, changed).orderBy("place").collect()]
