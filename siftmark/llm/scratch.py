@@ -13,12 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; nothing exists there yet."""
+    """A new path below the application's own folder in the shared one; nothing exists there yet.
+
+    Results are read from these files, so they stay; the application's folder can be deleted when it has ended.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
         base = "file://" + tempfile.mkdtemp(prefix="spark-siftmark-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/siftmark-{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/siftmark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
