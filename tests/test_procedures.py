@@ -12,7 +12,7 @@ from siftmark.operators.scalars import glob_pattern
 from siftmark.plans.retrieval import bounded_int, clean_weight, diversified_top
 from siftmark.plans.traversal import Limits, best_first
 from siftmark.sources.files import append_metrics, export_events, read_config, seeded, walk, write_bundle
-from siftmark.streaming.logs import event_stream, log_sink, open_items
+from siftmark.streaming.logs import event_stream, log_sink, open_items, windowed_counts
 
 
 def test_chunks_overlap_and_cover():
@@ -149,6 +149,9 @@ def test_streams(spark, tmp_path):
     log_sink(event_stream(spark, str(source), 1), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     written = spark.read.parquet(str(tmp_path / "out"))
     assert written.count() == rows.count() and written.select("batch").distinct().count() == 3
+    counts = windowed_counts(event_stream(spark, str(source), 3)).writeStream.format("memory").queryName("hours").outputMode("complete").option("checkpointLocation", str(tmp_path / "check3")).trigger(availableNow=True).start()
+    counts.awaitTermination()
+    assert spark.table("hours").agg(F.sum("n")).first()[0] == rows.count()
     q = open_items(event_stream(spark, str(source), 3)).writeStream.format("memory").queryName("open_items").option("checkpointLocation", str(tmp_path / "check2")).trigger(availableNow=True).start()
     q.awaitTermination()
     got = {(r.begin_id, r.end_id) for r in spark.table("open_items").collect()}
