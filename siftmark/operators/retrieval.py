@@ -91,8 +91,8 @@ def wn3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sf1_search_tokens", f"SELECT doc_id, len({_tokens('text')}) AS n, list_aggregate(list_sort({_tokens('text')}), 'string_agg', ' ') AS tokens FROM documents")
 def sf1(spark: SparkSession, d: str) -> DataFrame:
-    tokens = T.search_tokens(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.size(tokens).cast("long").alias("n"), F.when(F.size(tokens) > 0, F.array_join(F.array_sort(tokens), " ")).alias("tokens"))
+    found = table(spark, d, "documents").select("doc_id", F.sort_array(T.search_tokens(F.col("text"))).alias("t"))
+    return found.select("doc_id", F.size("t").cast("long").alias("n"), F.when(F.size("t") > 0, F.array_join("t", " ")).alias("tokens"))
 
 
 @query("sf3_vector_cosine", "SELECT e.vec_id, round(CAST(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS DOUBLE), 6) AS cosine FROM embeddings e, embeddings q WHERE q.vec_id = 0")

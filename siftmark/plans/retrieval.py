@@ -75,8 +75,9 @@ def scored_units(units: DataFrame, query: str, changed: list[str], weights: Weig
     kind = F.col("kind")
     base = (
         units.withColumn("path", repo_path(F.col("path")))
-        .withColumn("semantic", overlap_score(q, search_tokens(node_title(F.col("path"), F.col("text")))))
-        .withColumn("lexical", overlap_score(q, search_tokens(lexical_input(F.col("path"), F.col("text")))))
+        # tokens are columns of their own: a score refers to them several times
+        .withColumns({"_title": search_tokens(node_title(F.col("path"), F.col("text"))), "_input": search_tokens(lexical_input(F.col("path"), F.col("text")))})
+        .withColumns({"semantic": overlap_score(q, F.col("_title")), "lexical": overlap_score(q, F.col("_input"))})
         .withColumn("path_boost", path_boost(F.col("path"), changed, hints, w))
         .withColumn("pattern_boost", F.when(F.col("is_pattern"), w.pattern).otherwise(0.0))
         .withColumn("kind_boost", F.when(kind == "symbol", w.symbol).when(kind == "chunk", w.chunk).otherwise(0.0))
