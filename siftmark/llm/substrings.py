@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import discard, materialize
 from .wordhash import RangeHashes, Words, pieces, sliding_min
 
 #: Words of an anchor, and the bits of a word's place beside its hash when the smallest is sought.
@@ -143,9 +143,12 @@ def find_repeats(df: DataFrame, width: int = 35, text: str = "text", columns: tu
         F.collect_list(F.when(F.col("mixed") & lowest, F.struct("first", "last", "n"))).alias("checks"),
     )
     found = materialize(indexed.drop("blocks").join(marks, "row", "left"), "marked")
+    discard(indexed, keys, shared, contents)
     windows = materialize(_boundary_windows(found.where("size(checks) > 0"), width), "windows")
     repeated = windows.groupBy("hash").agg(F.sum("n").alias("_n")).where("_n > 1").select("hash")
     single = windows.where("n = 1").join(repeated, "hash").groupBy("row").agg(F.collect_list("place").alias("places"))
+    single = materialize(single, "places")
+    discard(windows)
     open_ = found.where("size(checks) > 0").join(single, "row", "left")
     none = "cast(array() as array<struct<first:int,last:int,source_row:bigint,source_first:int>>)"
     own = "transform(coalesce(places, array()), p -> named_struct('first', p, 'last', p, 'source_row', cast(null as bigint), 'source_first', cast(null as int)))"
