@@ -222,6 +222,22 @@ def test_near_duplicates_find_all_links(spark):
     assert got == {i: root(i) for i in range(len(rows))}
 
 
+def substituted(r, words, places):
+    out = list(words)
+    for i in places:
+        out[i] = f"e{r.randrange(10**9)}"
+    return out
+
+
+def test_near_duplicates_of_a_hub(spark):
+    """Copies that are like the original only: each is tied to it, however many there are."""
+    r = random.Random(11)
+    base = [f"v{r.randrange(10**6)}" for _ in range(200)]
+    rows = [(0, " ".join(base))] + [(i, " ".join(substituted(r, base, r.sample(range(200), 30)))) for i in range(1, 301)]
+    got = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.class_id for x in got} == {0}
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
