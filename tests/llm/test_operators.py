@@ -238,6 +238,23 @@ def test_near_duplicates_of_a_hub(spark):
     assert {x.class_id for x in got} == {0}
 
 
+def test_near_duplicates_close_to_the_threshold(spark):
+    """Pairs of 5 to 30 words as far apart as is allowed, all of them; longer ones at 0.80 to 0.85, at random places."""
+    r = random.Random(12)
+    rows, short = [], 0
+    for size in [*range(5, 31)] * 4 + [50, 100, 200, 400] * 30:
+        base = [f"v{r.randrange(10**6)}" for _ in range(size)]
+        short += size <= 30
+        edits = size // 5 if size <= 30 else int(size * r.uniform(0.15, 0.2))
+        places = [(i + 1) * size // (edits + 1) for i in range(edits)] if size <= 30 else r.sample(range(size), edits)
+        copy = substituted(r, base, places)
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy if size % 2 else copy[:places[0]] + copy[places[0] + 1 :]))]
+    got = {x.doc_id: x.class_id for x in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    found = [got[i] == got[i + 1] == i for i in range(0, len(rows), 2)]
+    assert all(found[:short])
+    assert sum(found[short:]) >= 119
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
