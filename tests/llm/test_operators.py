@@ -316,6 +316,14 @@ def test_scan_and_mask(spark, docs, none):
     assert secret_scan.scan_secrets(none).count() == 0 and secret_scan.scan_secrets(docs).count() == docs.count()
 
 
+def test_long_secrets_are_whole(spark):
+    r = random.Random(6)
+    key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(10_000))
+    df = spark.createDataFrame([(1, f"private_key follows: {key} end")], "doc_id long, text string")
+    assert [(s.kind, s.start, s.end) for s in secret_scan.scan_secrets(df).first().spans if s.kind == "novel"] == [("novel", 21, 10_021)]
+    assert secret_scan.mask_secrets(df).first().text == "private_key follows: <secret> end"
+
+
 # 7, 9, 10: tokens
 
 
