@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from siftmark.llm import chat, near, packing, quality, secret_scan, sharding, substrings, tokens, topk
+from siftmark.llm import chat, components, near, packing, quality, secret_scan, sharding, substrings, tokens, topk
 from siftmark.llm.components import connected_components
 from siftmark.llm.idfiles import ids_crc32, read_ids, write_ids
 from siftmark.llm.ordering import number_rows
@@ -284,6 +285,15 @@ def test_components(spark, local):
     assert connected_components(spark.createDataFrame([], "a long, b long"), local=local).count() == 0
 
 
+def test_components_of_one_large_star(spark):
+    """The edges of one node are dealt over tasks."""
+    edges = spark.createDataFrame([(i, 0) for i in range(1, 4001)], "u long, v long")
+    sizes = [r["count"] for r in components._dealt(edges, 4000, 100).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 800
+    got = connected_components(edges, "u", "v", local=500).collect()
+    assert len(got) == 4001 and {r.component for r in got} == {0}
+
+
 # 6: secret scans
 
 
