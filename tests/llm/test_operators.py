@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import string
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -306,15 +308,70 @@ def test_base_spans():
     assert secret_scan.base_spans("ſecret=abcdefghijklmn") == [] and secret_scan.base_spans("") == []
 
 
-def test_novel_strings():
+ALPHABETS = {"base64": string.ascii_letters + string.digits + "+/", "capital hex": "0123456789ABCDEF", "small and digits": string.ascii_lowercase + string.digits, "letters": string.ascii_letters, "capitals": string.ascii_uppercase}
+
+
+@pytest.mark.parametrize("kind", ALPHABETS)
+def test_novel_strings(kind):
     code = "def connect(host, port):\n    return Session(host, port)\n"
+    r = random.Random(1)
+    for n in (24, 48, 200, 1000, 5000, 100_000):
+        key = "".join(r.choice(ALPHABETS[kind]) for _ in range(n))
+        before = f"{code}# private_key follows -> "
+        text = f"{before}{key}. Then\n{code}"
+        found = [(a, b) for a, _, b in secret_scan.novel_spans(text, secret_scan.base_spans(text))]
+        assert found == [(len(before), len(before) + n)], n
+        assert secret_scan.novel_spans(f"{code} unrelated {key}", []) == []
+
+
+def test_names_are_not_novel():
+    for name in ("authentication_token_manager1", "com.example.service.impl.UserAccountManagerFactory", "XMLHttpRequestEventTargetListener", "KUBERNETES_SERVICE_ACCOUNT_NAMESPACE", "www.example.com/docs/reference/configuration.html", "1234567890123456", "misunderstandings"):
+        assert secret_scan.novel_spans(f"def connect(host, port):\n    return Session(host)\n# the token of {name} and so on", []) == []
+
+
+def test_scan_is_linear():
+    start = time.time()
+    for text in ("token" * 20_000, "token " * 20_000, "token=a1b2c3d4e5f6g7h8i9 " * 20_000, "tokenA1b2C3d4E5f6G7h8I9 " * 2_000):
+        secret_scan.novel_spans(text, secret_scan.base_spans(text))
+    assert time.time() - start < 10
+    start = time.time()
+    assert secret_scan.novel_spans("token" * 20_000, []) == [] and time.time() - start < 1
+
+
+def test_a_key_that_holds_a_sensitive_word_is_one():
     key = "Zq8Rt2Lw9XcVb4Nm7Kp1Js6Hd3Gf5"
-    text = f"{code}# private key follows -> bearer {key}\n{code}"
-    spans = secret_scan.novel_spans(text, [])
-    assert [text[a:b] for a, _, b in spans] == [key]
-    assert secret_scan.novel_spans(f"{code} unrelated {key}", []) == []
-    plain = "token authentication_token_manager1 authentication_token_manager1"
-    assert secret_scan.novel_spans(code + plain, []) == []
+    text = f"bearer {key}akia{key[::-1]} end"
+    assert secret_scan.novel_spans(text, []) == [(7, 3, 7 + 2 * len(key) + 4)]
+
+
+def test_op6_query(spark, tmp_path):
+    """Base columns against a brute-force scan that tries every start of every text."""
+    r = random.Random(3)
+    parts = ["token=", "api_key: ", "PassWd'=\"", "AKIA", "0123456789abcdef", "Zq8Rt2Lw9XcVb4Nm7Kp1Js6", "bearer ", "é", " ", "\n", "deadbeef", "secret", "AKIAABCDEFGHIJKLMN", "word"]
+    rows = [(i, "".join(r.choices(parts, k=r.randrange(12)))) for i in range(150)] + [(900, None), (901, ""), (902, "token=abcdefghijkl"), (902, "token=abcdefghijkl")]
+    spark.createDataFrame([(*x, "en", 1) for x in rows], "doc_id long, text string, lang string, spans int").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def brute(text):
+        out = []
+        for kind, (pattern, flags, least) in enumerate([(secret_scan.ASSIGN.pattern, re.ASCII | re.IGNORECASE, lambda m: len(m[2]) >= 12), (r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 18), (r"[0-9a-f]+", 0, lambda m: len(m[0]) >= 16)]):
+            at = 0
+            while at < len(text):
+                m = re.compile(pattern, flags).match(text, at)
+                if m and least(m):
+                    out.append((at, kind, m.end()))
+                at = m.end() if m else at + 1
+        return sorted(out)
+
+    def line(doc, text):
+        spans = brute(text or "")
+        n = Counter(k for _, k, _ in spans)
+        return doc, n[0], n[1], n[2], sha(",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in spans))
+
+    got = secret_scan.op6_zstd_novelty(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"]
+    got = got.collect()
+    assert Counter((x.doc_id, x.n_assign, x.n_access, x.n_hex, x.base_sha256) for x in got) == Counter(line(*x) for x in rows)
+    assert sum(x.n_novel for x in got) > 0 and all(x.spans.count("novel:") == x.n_novel for x in got)
 
 
 def test_scan_and_mask(spark, docs, none):
