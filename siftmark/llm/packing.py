@@ -25,6 +25,19 @@ from .tokens import id_bytes, slices
 #: Items of a group in a round, and the free share of a bin that is nearly full.
 GROUP = 40_000
 FULL = 0.005
+#: Bits of an item's number within its partition, of a bin's number within its group, and of its round.
+ITEM_BITS, BIN_BITS, LEVEL_BITS = 40, 18, 10
+
+
+def bin_ids(level: int, group: int, bins: np.ndarray) -> np.ndarray:
+    """Ids of a group's bins: negative, while items are not, and different for every round, group (up to 2^34) and bin."""
+    if level >> LEVEL_BITS or group >> (62 - LEVEL_BITS - BIN_BITS) or (len(bins) and int(bins.max()) >> BIN_BITS):
+        raise ValueError(f"no id for a bin of round {level}, group {group}")
+    return -1 - ((((group << BIN_BITS) + bins) << LEVEL_BITS) + level)
+
+
+def first_item(partition: int) -> int:
+    return partition << ITEM_BITS
 
 
 def token_pieces(df: DataFrame, capacity: int, vocabulary: str, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -35,7 +48,7 @@ def token_pieces(df: DataFrame, capacity: int, vocabulary: str, end_id: int, doc
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, item = id_bytes(vocabulary), TaskContext.get().partitionId() << 40
+        ids_of, item = id_bytes(vocabulary), first_item(TaskContext.get().partitionId())
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for rows in slices(batch, "text"):
@@ -91,8 +104,7 @@ def _round(items: DataFrame, groups: int, level: int, capacity: int, seed: int)
             rows = pa.Table.from_batches(tables)
             bins, offsets, fills = best_fit(rows.column("length").to_pylist(), capacity)
             where = np.array(bins, np.int64)
-            first = (level << 56) + (TaskContext.get().partitionId() << 36)
-            out = [rows.column("item").combine_chunks(), pa.array(first + where), pa.array(np.array(offsets, np.int64)), pa.array(np.array(fills, np.int64)[where])]
+            out = [rows.column("item").combine_chunks(), pa.array(bin_ids(level, TaskContext.get().partitionId(), where)), pa.array(np.array(offsets, np.int64)), pa.array(np.array(fills, np.int64)[where])]
             for batch in pa.Table.from_arrays(out, ["item", "bin", "at", "fill"]).to_batches(10_000):
                 yield batch
 
@@ -104,7 +116,7 @@ def _round(items: DataFrame, groups: int, level: int, capacity: int, seed: int)
 def pack_pieces(pieces: DataFrame, capacity: int = 2048, seed: int = 11) -> DataFrame:
     """`pieces` (item, length, ...) with `sequence_id` (long) and `offset` (long), gapless from 0 in each sequence.
 
-    Lengths are 1 to `capacity`. Equal lengths are told apart by `item`, so a lost task
+    Lengths are 1 to `capacity`, items are different and not negative. A full piece's sequence has its item's id, all others negative ones. Equal lengths are told apart by `item`, so a lost task
     packs the same way again. An empty table gives no rows.
     """
     length = F.col("length")
@@ -131,12 +143,17 @@ def pack_pieces(pieces: DataFrame, capacity: int = 2048, seed: int = 11) -> Data
 
 
 def pack_documents(df: DataFrame, capacity: int, vocabulary: str, end_id: int) -> DataFrame:
-    """Placement of every piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Placement of every piece of every document: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+
+    A null or empty text is one piece, `end_id` alone. Rows that repeat an id or a whole document are packed each by itself. No rows give none;
+    other columns of `df` are dropped.
+    """
     pieces = materialize(token_pieces(df, capacity, vocabulary, end_id), "pieces")
     return pack_pieces(pieces, capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op10_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its sequence of at most 2048 tokens; see `pack_documents`."""
     import public_tokenizers
 
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), 2048, public_tokenizers.path("word_bpe_49k.json"), 0)
