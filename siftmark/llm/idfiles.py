@@ -36,7 +36,7 @@ def write_ids(df: DataFrame, path: str, vocabulary: str, end_id: int, doc_id: st
     """Write the ids of every whole text, each followed by `end_id`, to ORC files at `path`.
 
     A null or empty text gives `end_id` alone. Null document ids come first, rows with equal ids
-    stay separate in any order, an empty table gives files without rows. Other columns are dropped.
+    stay separate in any order and can go to several files, an empty table gives files without rows. Other columns are dropped.
     A task holds a few MB of texts and their ids at a time.
     """
 
@@ -53,7 +53,8 @@ def write_ids(df: DataFrame, path: str, vocabulary: str, end_id: int, doc_id: st
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.full(len(sizes), part), pa.int32()), pa.array(before), pa.array(sizes), ids], ["doc_id", "part", "part_start", "n_tokens", "ids"])
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    laid = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # the tie column splits rows with one id over tasks
+    laid = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
     laid.mapInArrow(encode, "doc_id long, part int, part_start long, n_tokens long, ids array<int>").write.options(**ORC).orc(path)
 
 
@@ -81,6 +82,7 @@ def ids_crc32(df: DataFrame) -> DataFrame:
 
 
 def op9_orc_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document with their place in the whole order, read back from the ORC files; see `write_ids`."""
     import public_tokenizers
 
     path = shared_path(spark, "ids")
