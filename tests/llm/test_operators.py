@@ -87,6 +87,15 @@ def test_op1_query(spark, tmp_path):
     assert got[1].turns_sha256 == sha("user\nhi\nassistant\n\nassistant\n<|im_end|>\n") and got[1].loss_sha256 == sha("<|im_end|>") and got[1].n_turns == 3
 
 
+def test_chat_of_many_turns(spark):
+    """Mask places of a long conversation, and in time that grows with its length."""
+    df = spark.range(12_000).selectExpr("7L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('turn <|', id) AS text")
+    start = time.time()
+    got = chat.format_conversations(df).first()
+    assert time.time() - start < 30
+    assert all(got.formatted[t.start : t.start + t.length] == t.text == f"turn <|{i}" and t.trained == bool(i % 2) for i, t in enumerate(got.turns)) and len(got.turns) == 12_000
+
+
 # 2: substring dedup
 
 
@@ -438,6 +447,44 @@ def test_id_files(spark, docs, rows, none):
     assert read_ids(spark, empty).count() == 0
 
 
+def test_id_files_split_equal_ids(spark):
+    df = spark.range(0, 4000, 1, 4).selectExpr("if(id % 4 = 0, id, 7L) AS doc_id", "concat('text ', id) AS text")
+    path = shared_path(spark, "test-hot")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    write_ids(df, path, BYTE, 0)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = spark.read.orc(path).where("doc_id = 7").groupBy("part").count().collect()
+    assert len(parts) > 1 and sum(p["count"] for p in parts) == 3000
+    rows = sorted((r.start, r.n_tokens, r.doc_id) for r in read_ids(spark, path).collect())
+    assert [r[2] for r in rows] == sorted(r[2] for r in rows) and all(a[0] + a[1] == b[0] for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_id_files_have_indexes(spark):
+    """Row indexes and Bloom filters are in the stripes, and a look-up by id reads a part of the rows."""
+    path = shared_path(spark, "test-index")
+    df = spark.range(0, 200_000, 2).selectExpr("id AS doc_id", "cast(id AS string) AS text")
+    write_ids(df.coalesce(1), path, BYTE, 0)
+    jvm = spark._jvm
+    file = next(f for f in spark.read.orc(path).inputFiles() if f.endswith(".orc"))
+    orc = jvm.org.apache.orc.OrcFile
+    reader = orc.createReader(jvm.org.apache.hadoop.fs.Path(file), orc.readerOptions(spark._jsc.hadoopConfiguration()))
+    stripe = reader.getStripes()[0]
+    kinds = {str(x.getKind()) for x in reader.rows().readStripeFooter(stripe).getStreamsList()}
+    assert "ROW_INDEX" in kinds and any(k.startswith("BLOOM_FILTER") for k in kinds)
+
+    def read(ids):
+        found = spark.read.orc(path).where(F.col("doc_id").isin(ids)).select("doc_id")
+        rows = found.collect()
+        leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return len(rows), leaf.metrics().apply("numOutputRows").value()
+
+    total = spark.read.orc(path).count()
+    assert total == 100_000
+    for ids, hits in (([200], 1), ([201], 0), ([100_001, 150_001], 0)):
+        n, scanned = read(ids)
+        assert n == hits and scanned <= total // 4
+
+
 def test_packing(docs, rows, none):
     t = tokens.load_tokenizer(WORD)
     got = packing.pack_documents(docs, 64, WORD, 0).collect()
@@ -474,6 +521,19 @@ def test_rounds_join_underfull_bins(spark, monkeypatch):
     assert len(got) == 600 and n <= 1.05 * (sum(lengths) / 100) + 2
 
 
+def test_ids_of_sequences_never_meet(spark):
+    """A full piece of a late partition, and bins of every round and of very many groups."""
+    df = spark.createDataFrame([(1 << 56, 2048), (1, 100), (2, 200), (packing.first_item(70_000), 2048)], "item long, length long")
+    got = packing.pack_pieces(df, 2048).collect()
+    check_bins([(r.sequence_id, r.offset, r.length) for r in got], 2048)
+    assert len({r.sequence_id for r in got}) == 3
+    some = [int(x) for level in (1, 2, 63, 1023) for group in (0, 1, (1 << 21) - 1, 1 << 21, 1 << 33) for x in packing.bin_ids(level, group, np.array([0, 1, (1 << 18) - 1]))]
+    assert len(set(some)) == len(some) and max(some) < 0 and min(some) > -(1 << 63)
+    assert 0 <= packing.first_item(1 << 22) < 1 << 63
+    with pytest.raises(ValueError):
+        packing.bin_ids(1, 0, np.array([1 << 18]))
+
+
 def test_best_fit():
     bins, offsets, fills = packing.best_fit([6, 5, 4, 4, 1], 10)
     assert bins == [0, 1, 0, 1, 1] and offsets == [0, 0, 6, 5, 9] and fills == [10, 10]
