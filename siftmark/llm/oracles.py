@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality import CLASS_DISTANCE, CLASSES, MIN_CHARS, MIN_WORDS, WORD_DISTANCE, WORDS
+from .quality import CLASS_DISTANCE, CLASSES, COMMON, MIN_CHARS, MIN_WORDS, WORD_DISTANCE, WORDS, class_table, whole_shares, with_rest
 from .topk import OP3_SQL
 
 _HARD = "<|im_end|><|im_start|>assistant ok"
@@ -42,9 +42,10 @@ def _distance(p: str, q: str) -> str:
     return f"sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: ({half.format(1)} + {half.format(2)}) / 2))))"
 
 
-_CLASS_REFS = _map({k: [x / sum(v) for x in v] for k, v in CLASSES.items()})
-_WORD_REFS = _map({k: [*v.values(), 1 - sum(v.values())] for k, v in WORDS.items()})
-_COMMON = _map({k: list(v) for k, v in WORDS.items()})
+_CLASS_REFS = _map({k: whole_shares(v) for k, v in CLASSES.items()})
+_WORD_REFS = _map({k: with_rest(v) for k, v in WORDS.items()})
+_COMMON = _map({k: [f" {w} " for w in v] for k, v in COMMON.items()})
+_FROM, _TO = (x.replace("'", "''") for x in class_table())
 
 OP8_SQL = rf"""
 WITH d AS (SELECT doc_id, lang, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
@@ -53,14 +54,13 @@ s AS (SELECT r, pos, CASE WHEN pos <= n - 2 THEN string_agg(word, ' ') OVER (PAR
 m AS (SELECT *, CASE WHEN win IS NOT NULL AND count(*) OVER (PARTITION BY r, win) > 1 THEN 1 ELSE 0 END AS dup FROM s),
 g AS (SELECT r, max(dup) OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS again FROM m),
 k AS (SELECT r, CAST(sum(again) AS BIGINT) AS n_repeat_words FROM g GROUP BY r),
-l AS (SELECT *, regexp_replace(t, '\p{{Ll}}+', '', 'g') AS rest, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '{_WORD}')) AS lines FROM d),
-c AS (SELECT *, length(t) - length(rest) AS low, least(length(regexp_replace(t, '[^aeiouyà-æè-ïò-öø-ýœ]+', '', 'g')), length(t) - length(rest)) AS vowels,
-  length(rest) - length(regexp_replace(rest, '\p{{Lu}}+', '', 'g')) AS upper, length(rest) - length(regexp_replace(rest, '{_SPACE}+', '', 'g')) AS space,
-  length(rest) - length(regexp_replace(rest, '[.,;:!?()"\x27-]+', '', 'g')) AS punct, length(rest) - length(regexp_replace(rest, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
-  length(t) - (length(rest) - length(regexp_replace(rest, '[0-9]+', '', 'g'))) AS judged, {_COMMON}[lang] AS common FROM l),
-f AS (SELECT *, list_filter(list_transform(w, lambda y: lower(rtrim(y, '.,;:!?#*$%&'))), lambda y: list_contains(common, y)) AS found FROM c),
-h AS (SELECT *, list_transform([vowels, low - vowels, upper, space, punct, n_symbols, judged - low - upper - space - punct - n_symbols], lambda y: greatest(y, 0) / judged) AS p,
-  list_transform(list_concat(list_transform(common, lambda v: len(list_filter(found, lambda y: y = v))), [len(w) - len(found)]), lambda y: y / len(w)) AS q FROM f),
+l AS (SELECT *, translate(t, '{_FROM}', '{_TO}') AS kinds, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '{_WORD}')) AS lines,
+  '  ' || replace(regexp_replace(lower(t), '[\x09-\x0D.,;:!?#*$%&]', ' ', 'g'), ' ', '  ') || '  ' AS spaced, {_COMMON}[lang] AS common FROM d),
+c AS (SELECT *, list_transform([0, 1, 2, 3, 4, 5, 9], lambda y: strlen(kinds) - strlen(replace(kinds, CAST(y AS VARCHAR), ''))) AS n_kinds,
+  list_transform(common, lambda y: (strlen(spaced) - strlen(replace(spaced, y, ''))) // strlen(y)) AS hits FROM l),
+f AS (SELECT *, n_kinds[4] AS space, n_kinds[6] AS n_symbols, length(t) - n_kinds[7] AS judged FROM c),
+h AS (SELECT *, list_transform(list_concat(n_kinds[1:6], [judged - list_sum(n_kinds[1:6])]), lambda y: greatest(y, 0) / judged) AS p,
+  list_transform(list_concat(hits, [greatest(0, len(w) - list_sum(hits))]), lambda y: y / len(w)) AS q FROM f),
 z AS (SELECT h.*, coalesce(n_repeat_words, 0) AS n_repeat_words, CASE WHEN judged >= {MIN_CHARS} AND common IS NOT NULL THEN {_distance('p', f'{_CLASS_REFS}[lang]')} END AS cd,
   CASE WHEN len(w) >= {MIN_WORDS} AND common IS NOT NULL THEN {_distance('q', f'{_WORD_REFS}[lang]')} END AS wd FROM h LEFT JOIN k USING (r)),
 o AS (SELECT *, len(w) < 50 OR 100 * n_repeat_words > 50 * len(w) AS base_failed FROM z)

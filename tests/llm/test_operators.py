@@ -565,19 +565,39 @@ def test_quality_counts(spark, docs, rows, none):
     assert quality.judge_quality(none.withColumn("lang", F.lit(None).cast("string"))).count() == 0
 
 
+def prose_like(lang, n, seed=2, common=True):
+    """Words with the language's shares of common words and of character classes."""
+    r = random.Random(seed)
+    parts = {"en": ["the", "an", "or", "in", "er", "ed", "re", "ti", "on", "sh", "nd"], "fr": ["ai", "eu", "tion", "é", "ou", "re", "la", "que", "ment", "s", "tr"]}[lang]
+    made = lambda: "".join(r.choice(parts) for _ in range(3))
+    shares = quality.WORDS[lang]
+    return " ".join(r.choices(quality.COMMON[lang], shares)[0] if common and r.random() < sum(shares) else made() + r.choice(["", "", "", "", "."]) for _ in range(n))
+
+
 def test_quality_verdicts(spark):
-    r = random.Random(2)
-    common = list(quality.WORDS["en"])
-    made = lambda: "".join(r.choice(["the", "an", "or", "in", "er", "ed", "re", "ti", "on", "sh"]) for _ in range(3))
-    clean = " ".join(r.choices(common, quality.WORDS["en"].values())[0] if r.random() < 0.25 else made() + r.choice(["", "", "", "", "."]) for _ in range(150))
+    clean = prose_like("en", 150)
     rows = [(1, clean, "en"), (2, clean.upper(), "en"), (3, "#$% ".join(clean.split()), "en"), (4, clean, None), (5, clean, "xx"), (6, None, "en"), (7, "thy " + " ".join(f"zq{i}x" for i in range(200)), "en")]
+    # a list of keywords: letters as in prose, no common words
+    rows += [(8, prose_like("en", 150, common=False), "en"), (9, prose_like("fr", 200), "fr"), (10, prose_like("fr", 200, 3), "en"), (11, "", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r.doc_id: (r.kept, r.class_distance, r.word_distance) for r in quality.judge_quality(df).collect()}
-    assert got[1][0] and not got[2][0] and not got[3][0] and not got[6][0]
+    assert got[1][0] and got[9][0] and not got[2][0] and not got[3][0] and not got[6][0] and not got[10][0] and not got[11][0]
+    assert not got[8][0] and got[8][1] < quality.CLASS_DISTANCE and got[8][2] > quality.WORD_DISTANCE
     assert got[4] == got[5] == (True, None, None)
     assert {r.doc_id for r in quality.drop_rejected(df).collect()} == {i for i, x in got.items() if x[0]}
 
 
+def test_quality_references_are_fitted(spark):
+    """What is stored is what the fit gives on the labelled documents, to within the sample."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    classes, words = quality.fit_references(docs.join(labels.where("quality = 1"), "doc_id", "left_semi"))
+    assert classes.keys() == quality.CLASSES.keys() and words.keys() == quality.WORDS.keys()
+    for lang in classes:
+        assert np.abs(np.array(classes[lang]) - quality.CLASSES[lang]).max() < 0.02
+        assert np.abs(np.array(words[lang]) - quality.WORDS[lang]).max() < 0.015
+    assert quality.fit_references(docs.limit(0)) == ({}, {})
+
+
 def test_js_distance(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0]), ([0.5, 0.5], [0.5, 0.5]), ([0.9, 0.1], [0.5, 0.5])], "p array<double>, q array<double>")
     p, q = np.array([0.9, 0.1]), np.array([0.5, 0.5])
