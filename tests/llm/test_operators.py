@@ -267,6 +267,40 @@ def test_near_duplicates_close_to_the_threshold(spark):
     assert sum(found[short:]) >= 119
 
 
+def test_near_duplicates_with_even_edits(spark):
+    """Recall where edits are spread evenly, so that the fewest k-mers are in common: similarities 0.80 to 0.85, all pairs known."""
+    r = random.Random(13)
+    rows = []
+    for size in [60, 100, 200, 400] * 50:
+        base = [f"v{r.randrange(10**6)}" for _ in range(size)]
+        edits = int(size * r.uniform(0.15, 0.2))
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(substituted(r, base, [(2 * i + 1) * size // (2 * edits) for i in range(edits)])))]
+    got = {x.doc_id: x.class_id for x in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got[i] == got[i + 1] == i for i in range(0, len(rows), 2)) >= 0.95 * len(rows) / 2
+    assert all(got[i] == i for i in range(0, len(rows), 2))
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_pairs_of_a_bucket(spark, monkeypatch, blocks):
+    """All pairs of different classes, whether a bucket is one cell or several."""
+    monkeypatch.setattr(near, "BLOCK", -(-40 // blocks))
+    monkeypatch.setattr(near, "PAIRS", 50)
+    r = np.random.RandomState(2)
+    minima = [bytes(r.randint(0, 2, near.SKETCHES, np.uint8).tolist()) for _ in range(40)]
+    texts = spark.createDataFrame([(i, 100 + i % 3, m) for i, m in enumerate(minima)], "text long, words long, minima binary")
+    members = spark.createDataFrame([(b, i) for b in (5, 6) for i in range(40)], "bucket long, text long")
+    tied = spark.createDataFrame([(i, i % 7) for i in range(40)], "node long, component long")
+    apart = near._apart(members, texts, tied)
+    assert apart.select("cell").distinct().count() == 2 * blocks * (blocks + 1) // 2
+    got = {(x.a, x.b) for x in near._met(apart, 0.8, False).collect()}
+    assert got == {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 7 != b % 7}
+    best = {(x.a, x.b) for x in near._met(apart, 0.8, True).collect()}
+    agree = lambda a, b: sum(x == y for x, y in zip(minima[a], minima[b], strict=True))
+    highest = {i: max(agree(i, j) for j in range(40) if i % 7 != j % 7) for i in range(40)}
+    assert all(any(i in x and agree(*x) == highest[i] for x in best) for i in range(40))
+    assert best <= got and {x for p in best for x in p} == set(range(40))
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -286,6 +320,21 @@ def test_alignment():
         x, y = (np.array(v, np.uint64) * np.uint64(0x9E3779B97F4A7C15) for v in (a, b))
         band = int(0.2 * max(len(a), len(b)) + 1e-9)
         assert near.similar(x, y) == (distance(a, b) <= band)
+        for wide in (0, 1, band, len(a)):
+            assert near._banded_distance(x, y, wide) == min(distance(a, b), wide + 1)
+
+
+def test_alignment_of_long_texts():
+    """Ten thousand words within seconds, and words of every frequency."""
+    r = random.Random(5)
+    base = [r.randrange(4) if r.random() < 0.5 else r.randrange(10**6) for _ in range(10_000)]
+    edited = [x if r.random() > 0.15 else 10**7 + r.randrange(10**6) for x in base]
+    x, y, z = (np.array(v, np.uint64) * np.uint64(0x9E3779B97F4A7C15) for v in (base, edited, base[3000:] + base[:3000]))
+    start = time.time()
+    changed = sum(p != q for p, q in zip(base, edited, strict=True))
+    assert near._banded_distance(x, y, 2000) == changed and near.similar(x, y) and not near.similar(x, z)
+    assert time.time() - start < 10
+
 
 
 @pytest.mark.parametrize("local", [10, 10**6])
