@@ -15,9 +15,9 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = np.random.RandomState(20240229).randint(1, 2**62, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
-_BYTE[_SPACE] = 0
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BYTES = np.random.RandomState(20240229).randint(1, 2**62, (2, 256), dtype=np.int64).astype(np.uint64) | np.uint64(1)
+_BYTES[:, _SPACE] = 0
+_BASES = np.array([0x9E3779B97F4A7C15, 0xA24BAED4963EE407], np.uint64)
 _WORD_BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -52,14 +52,15 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, kind: int = 0) -> np.ndarray:
+        """A hash of each word; the two kinds (0 and 1) are independent of one another."""
         if not len(self.starts):
             return np.zeros(0, np.uint64)
         sizes = np.diff(np.append(self.starts, len(self.data)))
         place = np.arange(self.starts[0], len(self.data)) - np.repeat(self.starts, sizes)
         longest = int((self.ends - self.starts).max())
-        power = _powers(_BASE, longest + 1)
-        parts = _BYTE[self.data[self.starts[0] :]] * power[np.minimum(place, longest)]
+        power = _powers(_BASES[kind], longest + 1)
+        parts = _BYTES[kind][self.data[self.starts[0] :]] * power[np.minimum(place, longest)]
         total = np.add.reduceat(parts, self.starts - self.starts[0])
         return mix(total + (self.ends - self.starts).astype(np.uint64))
 

@@ -128,6 +128,22 @@ def test_substrings_random(spark):
         assert got == sorted(brute_repeats(rows, width))
 
 
+def test_the_parse_decides(spark, docs, rows):
+    """Nothing is removed but by factors, and short first hashes change nothing."""
+    found = substrings.find_matches(docs, 35)
+    assert sum(x.n_removed for x in substrings.drop_factors(found, 35).collect()) > 0
+    assert all(x.n_removed == 0 for x in substrings.drop_factors(found, 35, lambda *_: []).collect())
+    short = substrings.drop_factors(substrings.find_matches(docs, 35, bits=3), 35)
+    assert sorted((r.n_words, r.n_removed, r.kept_sha256) for r in short.collect()) == sorted(brute_repeats(rows, 35))
+
+
+def test_parse():
+    block = lambda first, last, row, at: {"first": first, "last": last, "source_row": row, "source_first": at}
+    # two blocks of one source and a checked window make one factor; another source and a gap begin new ones
+    assert substrings.parse([block(10, 14, 7, 110), block(0, 9, 7, 100), block(16, 20, 8, 0)], [15, 40], 35) == [(0, 50), (16, 39), (40, 35)]
+    assert substrings.parse([], [], 35) == []
+
+
 def test_substrings_keep_white_space(spark):
     passage = " ".join(f"p{i}" for i in range(150))
     df = spark.createDataFrame([(1, f"a\n\nb  {passage} c\td"), (2, f"{passage}\nend")], "doc_id long, text string")
