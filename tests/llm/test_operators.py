@@ -170,14 +170,48 @@ def test_top_products(spark):
     assert topk.top_products(df.limit(0), "id % 50 = 0").count() == 0
 
 
+def test_norms_prune_blocks(spark):
+    """Skewed lengths, ties and an outlier: most blocks are never read, and the result is that of brute force."""
+    r = np.random.RandomState(8)
+    vectors = r.randn(4000, 8) * (np.arange(1, 4001)[:, None] ** -0.7) * 50
+    vectors[17] = 3e4
+    vectors[100:120] = vectors[100]
+    vectors[2000:2005] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+    v = np.floor(256 * vectors).astype(np.int64)
+    want = set()
+    for q in range(0, 4000, 50):
+        s = v @ v[q]
+        order = [c for c in np.lexsort((np.arange(4000), -s)) if c != q][:5]
+        want |= {(q, k + 1, int(c), int(s[c])) for k, c in enumerate(order)}
+    assert {tuple(x) for x in topk.top_products(df, "id % 50 = 0", block=64, seeds=128).collect()} == want
+    rows = topk._usable(df, "vec_id", "embedding", 256).cache()
+    blocks, queries = topk.dealt_vectors(rows, "id % 50 = 0", 64, 128)
+    cells = lambda need, seeds: topk._cells(queries.withColumns({"bound": F.lit(0), "need": need}), blocks, seeds)
+    first, rest = (cells(F.lit(0.0), s)[0].count() for s in (True, False))
+    assert 0 < first < rest
+    # what the fifth best of the queries' scores leaves over
+    kth = {q: s for q, k, _, s in want if k == 5}
+    need = F.create_map(*(F.lit(x) for q, s in kth.items() for x in (q, max(0.0, s / max(1e-9, float(np.sqrt((v[q].astype(float) ** 2).sum()))))))) [F.col("id")]
+    left, vectors_read = cells(need, False)
+    assert left.count() < 0.5 * rest and vectors_read.count() < 0.5 * 4000 * queries.select("cell").distinct().count()
+
+
+def test_too_long_vectors(spark):
+    df = spark.createDataFrame([(0, [1e300, 1.0]), (1, [1e200, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too long"):
+        topk.top_products(df, "id % 50 = 0").collect()
+
+
 @pytest.mark.parametrize("bound", [5.0, 40.0, 120.0, 200.0])
 def test_pruning_loses_nothing(bound):
     r = np.random.RandomState(1)
     vectors = (r.randn(500, 5) * 5).astype(np.int64)
     block = topk.Block(np.arange(500), np.arange(500), vectors)
     for q in (r.randn(20, 5) * 5).astype(np.int64):
-        places = np.arange(500)[block.candidates(q, float(np.sqrt((q**2).sum())), bound)]
-        assert set(np.flatnonzero(block.vectors @ q >= bound)) <= set(places)
+        for start in (0, 100):
+            places = np.arange(500)[block.candidates(q, float(np.sqrt((q**2).sum())), bound, start)]
+            assert {x for x in np.flatnonzero(block.vectors @ q >= bound) if x >= start} <= set(places) and all(places >= start)
 
 
 # 4: sharding
