@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edge types of the code graph.
+EDGE_TYPES = ["file_dep", "file_dep_inferred", "references_symbol", "contains_symbol", "class_contains_symbol", "symbol_contains_symbol", "symbol_imports_file", "exports_symbol", "dir_contains_file", "dir_contains_dir", "module_contains", "module_dep"]
+NODE_TYPES = ["file", "symbol", "file", "directory", "module"]
 CATEGORIES = ["security", "bug", "performance", "testing", "maintainability", "style"]
 
 #: The tables' schemas are fixed; nothing is inferred from file contents beyond Parquet's own.
@@ -32,6 +35,8 @@ VIEWS = {
         CASE WHEN event_type = 'error' THEN 'ERROR' WHEN event_type = 'view' THEN 'DEBUG' ELSE 'INFO' END AS level, event_type AS target, props AS message,
         CASE WHEN user_id % 7 <> 0 THEN user_id END AS thread_id, 'p' || (user_id % 5) AS process_uuid,
         CAST(strlen(props) + strlen(event_type) + 8 AS BIGINT) AS bytes FROM events""",
+    "graph_edges": f"""SELECT l_orderkey % 7 AS repo, l_suppkey AS from_id, l_partkey % 300 AS to_id, {EDGE_TYPES}[(l_partkey + l_linenumber) % 12 + 1] AS type, count(*) AS weight
+        FROM lineitem WHERE l_suppkey <> l_partkey % 300 GROUP BY ALL""",
     "deps": """SELECT l_suppkey AS from_id, l_partkey % 100 AS to_id, CASE WHEN l_returnflag = 'R' THEN 'file_dep' ELSE 'references_symbol' END AS type,
         l_orderkey || ':' || l_linenumber AS example, l_orderkey * 10 + l_linenumber AS pos FROM lineitem""",
 }
@@ -116,6 +121,20 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed edges of each repository's code graph, with the number of places that give them."""
+    kind = F.element_at(F.array(*map(F.lit, EDGE_TYPES)), ((F.col("l_partkey") + F.col("l_linenumber")) % 12 + 1).cast("int"))
+    rows = table(spark, sf_dir, "lineitem").where("l_suppkey != l_partkey % 300")
+    return rows.groupBy((F.col("l_orderkey") % 7).alias("repo"), F.col("l_suppkey").alias("from_id"), (F.col("l_partkey") % 300).alias("to_id"), kind.alias("type")).agg(F.count("*").alias("weight"))
+
+
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes at the ends of `graph_edges`: repo, id, type, path."""
+    ends = graph_edges(spark, sf_dir).select("repo", F.explode(F.array("from_id", "to_id")).alias("id")).distinct()
+    kind = F.element_at(F.array(*map(F.lit, NODE_TYPES)), (F.col("id") % 5 + 1).cast("int"))
+    return ends.select("repo", "id", kind.alias("type"), F.expr("concat('src/m', id % 12, '/f', id, '.ts')").alias("path"))
+
+
 def deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw dependencies between graph nodes, one row for each place."""
     return table(spark, sf_dir, "lineitem").select(

@@ -45,6 +45,31 @@ def repo_path(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(slashed, r"^\./", ""), "^/", ""), "/+", "/")
 
 
+def graph_path(x: Column) -> Column:
+    """A path as the graph has it: a leading slash stays (SF7, second form)."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"\\", "/"), r"^\./", ""), "/+", "/")
+
+
+def structural_path(x: Column) -> Column:
+    """A path as the structural scorer has it: every ./ goes, leading slashes go, doubled slashes are replaced once (SF7, third form)."""
+    plain = F.replace(F.replace(F.trim(x), F.lit("\\"), F.lit("/")), F.lit("./"), F.lit(""))
+    return F.replace(F.ltrim(plain, F.lit("/")), F.lit("//"), F.lit("/"))
+
+
+def clean_weight(x: Column, other: float) -> Column:
+    """A weight in [0, 1]: null and non-finite values give the default, negative ones 0 (SF37)."""
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    return F.when(finite, F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))).otherwise(float(other))
+
+
+def bounded_int(x: Column, other: int, least: int, most: int) -> Column:
+    """A text's number within bounds, without its fraction; what is no finite number gives the default (TK11)."""
+    n = x.try_cast("double")
+    finite = n.isNotNull() & ~F.isnan(n) & (F.abs(n) != float("inf"))
+    whole = F.when(n < 0, F.ceil(n)).otherwise(F.floor(n))
+    return F.when(finite, F.least(F.lit(most), F.greatest(F.lit(least), whole))).otherwise(other).cast("long")
+
+
 def directory(path: Column) -> Column:
     """What stands before the last slash; empty if there is none (SF8)."""
     return F.regexp_replace(F.when(F.instr(path, "/") > 0, path).otherwise(""), "/[^/]*$", "")

@@ -5,31 +5,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..catalog import deps, findings, table, units
+from ..catalog import findings, graph_edges, graph_nodes, table, units
 from ..functions import text as T
 from ..plans.traversal import best_first, fuse_context
+from ..plans.retrieval import Weights
 from ..registry import query
-from .graph import weighted_edges
+from .retrieval import CHANGED, _overlap, _tokens
+
+
+def _traversed(spark: SparkSession, d: str) -> DataFrame:
+    seeds = spark.range(7).select(F.col("id").alias("repo"), "id", F.lit(1.0).alias("score"))
+    return best_first(graph_edges(spark, d), graph_nodes(spark, d), seeds)
 
 
 @query("cp7_best_first")
 def cp7(spark: SparkSession, d: str) -> DataFrame:
-    """Traversal of five graphs from two seeds each."""
-    e = weighted_edges(deps(spark, d)).where("weight > 4").withColumn("repo", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
-    seeds = table(spark, d, "supplier").where("s_suppkey < 10").select((F.col("s_suppkey") % 5).alias("repo"), F.col("s_suppkey").alias("id"), F.lit(1.0).alias("score"))
-    return best_first(e.select("repo", "from_id", "to_id", "type", "weight"), seeds)
+    """Traversal of every repository's graph from a seed."""
+    return _traversed(spark, d).select("repo", "id", F.round("score", 9).alias("score"), "depth", F.array_join("via", "; ").alias("via"), "visited", "followed", "cut")
+
+
+# Fixed values of the fusion are spelt out here once more, apart from the plan's.
+@query("cp8_context_fusion", """WITH ch AS (SELECT DISTINCT repo_id AS repo, path FROM findings WHERE line = 50 AND ordinal = 7 AND starts_with(path, 'src/m1/')),
+sz AS (SELECT repo, count(*) AS n, list(DISTINCT regexp_extract(path, '^(.*/)', 1)) AS dirs, CASE WHEN count(*) <= 2 THEN 20 WHEN count(*) <= 5 THEN 24 ELSE 28 END AS most FROM ch GROUP BY repo),
+g0 AS (SELECT repo_id AS repo, path, max(line) / 50.0 AS graph, min(ordinal) AS depth FROM findings f WHERE category = 'bug' AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.repo = f.repo_id AND ch.path = f.path) GROUP BY ALL),
+g AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY graph DESC, path) AS gr FROM g0 QUALIFY gr <= 112),
+r0 AS (SELECT repo_id AS repo, path, CAST(max(line) AS DOUBLE) AS raw FROM findings f WHERE severity = 'nit' AND line < 45 AND NOT EXISTS (SELECT 1 FROM ch WHERE ch.repo = f.repo_id AND ch.path = f.path) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY raw DESC, path) AS rr, raw / greatest(0.0001, max(raw) OVER (PARTITION BY repo)) AS share FROM r0),
+h AS (SELECT repo_id AS repo, path, count(*) FILTER (WHERE status = 'open') AS open, count(*) AS historical FROM findings WHERE line < 3 GROUP BY ALL),
+c0 AS (SELECT repo, path, coalesce(graph, 0) AS graph, coalesce(depth, 6) AS depth, coalesce(share, 0) AS share, coalesce(raw, 0) AS raw, gr, rr, n, most, len(list_filter(dirs, lambda x: starts_with(regexp_extract(path, '^(.*/)', 1), x) OR starts_with(x, regexp_extract(path, '^(.*/)', 1)))) > 0 AS near FROM g FULL JOIN r USING (repo, path) JOIN sz USING (repo)),
+c1 AS (SELECT c0.*, CASE WHEN row_number() OVER (PARTITION BY c0.repo ORDER BY gr NULLS LAST, rr) <= 120 - n THEN least(0.2, coalesce(open, 0) * 0.04 + coalesce(historical, 0) * 0.008) ELSE 0 END AS hot FROM c0 LEFT JOIN h ON h.repo = c0.repo AND h.path = c0.path),
+c2 AS (SELECT *, CASE WHEN raw <= 0 AND depth > 3 THEN NULL WHEN raw <= 0 AND graph < 0.22 AND hot < 0.04 THEN NULL WHEN raw > 0 AND graph <= 0 AND share < 0.28 AND NOT near AND hot < 0.03 THEN NULL
+  ELSE graph * 0.34 + share * 0.52 + hot + CASE WHEN near THEN 0.06 ELSE 0 END + CASE WHEN graph <= 0 THEN 0 WHEN depth <= 1 THEN 0.08 WHEN depth = 2 THEN 0.04 WHEN depth = 3 THEN 0 ELSE -least(0.16, (depth - 3) * 0.06) END END AS t FROM c1),
+c AS (SELECT *, CASE WHEN t >= 0.06 THEN t END AS score FROM c2),
+p AS (SELECT repo, path, score, most, 1 AS part, row_number() OVER (PARTITION BY repo ORDER BY (share >= 0.55 OR near OR graph > 0) DESC, rr) AS k FROM c WHERE rr IS NOT NULL QUALIFY k <= least(most, greatest(4, most // 2))
+UNION ALL SELECT repo, path, score, most, 2, row_number() OVER (PARTITION BY repo ORDER BY (depth <= 2 OR graph >= 0.5) DESC, gr) AS k FROM c WHERE gr IS NOT NULL QUALIFY k <= least(8, greatest(1, most // 4))
+UNION ALL SELECT repo, path, score, most, 3, row_number() OVER (PARTITION BY repo ORDER BY score DESC, path) AS k FROM c WHERE score IS NOT NULL),
+o AS (SELECT repo, path, score, most, min({'part': part, 'k': k}) AS a FROM p GROUP BY ALL)
+SELECT repo, path, CAST(row_number() OVER (PARTITION BY repo ORDER BY a) AS INTEGER) AS place, ['retrieval', 'graph', 'both'][a.part] AS source, round(score, 9) AS score FROM o QUALIFY place <= most""")
+def cp8(spark: SparkSession, d: str) -> DataFrame:
+    """Fusion for all repositories; here scores stand for those of traversal and retrieval, so that SQL can follow."""
+    f = findings(spark, d).withColumnRenamed("repo_id", "repo")
+    changed = f.where("line = 50 and ordinal = 7 and startswith(path, 'src/m1/')").select("repo", "path").distinct()
+    graph = f.where("category = 'bug'").select("repo", "path", (F.col("line") / 50.0).alias("score"), F.col("ordinal").alias("depth"))
+    retrieved = f.where("severity = 'nit' and line < 45").select("repo", "path", F.col("line").cast("double").alias("score"))
+    return fuse_context(graph, retrieved, hot_spots(f.where("line < 3")), changed).withColumn("score", F.round("score", 9))
 
 
-@query("cp8_context_fusion", """WITH g AS (SELECT path, max(line) / 50.0 AS graph, min(ordinal) AS depth FROM findings WHERE repo_id = 1 GROUP BY path), r AS (SELECT path, max(line) AS s FROM findings WHERE repo_id IN (2, 3) AND line < 45 GROUP BY path), m AS (SELECT max(s) AS top FROM r),
-h AS (SELECT path, count(*) AS open FROM findings WHERE repo_id = 4 AND status = 'open' GROUP BY path), j AS (SELECT coalesce(g.path, r.path) AS path, graph, depth, s / top AS retrieval FROM g FULL JOIN r ON g.path = r.path, m)
-SELECT path, round(coalesce(graph, 0) * 0.34 + coalesce(retrieval, 0) * 0.52 + least(0.12, coalesce(open, 0) * 0.02) + CASE WHEN regexp_replace(path, '/[^/]*$', '') IN ('src/m1', 'src/m2') THEN 0.06 ELSE 0 END + CASE WHEN depth <= 1 THEN 0.04 WHEN depth = 2 THEN 0.02 ELSE 0 END, 9) AS score
-FROM j LEFT JOIN h USING (path) WHERE path NOT IN ('src/m1/f1.ts', 'src/m2/f2.ts') ORDER BY round(score, 9) DESC, path LIMIT 24""")
-def cp8(spark: SparkSession, d: str) -> DataFrame:
-    f = findings(spark, d)
-    g = f.where("repo_id = 1").select("path", (F.col("line") / 50.0).alias("score"), F.col("ordinal").alias("depth"))
-    r = f.where("repo_id in (2, 3) and line < 45").select("path", F.col("line").alias("score"))
-    hot = f.where("repo_id = 4 and status = 'open'").groupBy("path").agg(F.count("*").alias("open"))
-    return fuse_context(g, r, hot, ["src/m1/f1.ts", "src/m2/f2.ts"]).select("path", F.round("score", 9).alias("score"))
+def hot_spots(findings: DataFrame) -> DataFrame:
+    """repo, path, open, historical: findings of a path, and those that are still open."""
+    return findings.groupBy("repo", "path").agg(F.count(F.when(F.col("status") == "open", 1)).alias("open"), F.count("*").alias("historical"))
+
+
+@query("cp8_traversal_fusion")
+def cp8_traversal(spark: SparkSession, d: str) -> DataFrame:
+    """Fusion of what traversal finds from changed files with a ranking of files: CP7's output is CP8's input."""
+    files = graph_nodes(spark, d).where("type = 'file'").select("repo", "id", "path")
+    changed = files.where("id = 2 * repo or id = repo + 100").select("repo", "id", "path")
+    seeds = changed.select("repo", "id", F.lit(1.0).alias("score"))
+    found = best_first(graph_edges(spark, d), graph_nodes(spark, d), seeds).join(files, ["repo", "id"]).select("repo", "path", "score", "depth")
+    retrieved = files.where("id % 11 = 3").select("repo", "path", (F.col("id") % 50 / 50).alias("score"))
+    f = findings(spark, d).select((F.col("repo_id") % 7).alias("repo"), "path", "status")
+    return fuse_context(found, retrieved, hot_spots(f), changed.select("repo", "path")).withColumn("score", F.round("score", 9))
 
 
 def bm25(docs: DataFrame, question: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -75,14 +111,33 @@ def cp17(spark: SparkSession, d: str) -> DataFrame:
     return found.where("score is not null").orderBy(F.desc("score"), "path").limit(30)
 
 
-@query("cp5_structural_scores", """WITH q AS (SELECT list_distinct(list_filter(string_split_regex('the anthor of thenan and erly for token', '[^a-z0-9_./-]+'), lambda t: length(t) >= 2 AND t NOT IN ('the', 'of', 'and', 'for'))) AS q),
-t AS (SELECT id, path, lower(split_part(text, chr(10), 1)) AS title, lower(text) AS body FROM units) SELECT id, round(0.62 * len(list_filter(q, lambda w: contains(title, w))) / len(q) + 0.22 * len(list_filter(q, lambda w: contains(body, w))) / len(q) + CASE WHEN starts_with(path, 'src1/') THEN 0.08 ELSE 0 END, 9) AS score FROM t, q""")
+_CP5 = "the anthor of thenan and erly for token src1/en"
+# Fixed values of the structural scorer are spelt out here once more: 0.62, 0.22, 0.16, 0.08, 0.02, 0.03.
+@query("cp5_structural_scores", f"""WITH w AS (SELECT id, path, kind, unnest([split_part(text, chr(10), 1), path]) AS title, text FROM units),
+t AS (SELECT id, path, kind, {_tokens('title')} AS tt, {_tokens('substr(text, 1, 10000)')} AS tx, {_tokens(f"'{_CP5}'")} AS q FROM w),
+s AS (SELECT id, {_overlap('q', 'tt')} AS semantic, {_overlap('q', 'tx')} AS lexical, CASE WHEN path IN ('src1/fr/f1.txt', 'src2/en/f0.txt') THEN 0.16 WHEN regexp_replace(path, '/[^/]*$', '') IN ('src1/fr', 'src2/en') THEN 0.08 ELSE 0.0 END AS path_boost,
+  CASE kind WHEN 'symbol' THEN 0.02 WHEN 'chunk' THEN 0.03 ELSE 0.0 END AS kind_boost FROM t),
+b AS (SELECT id, max({{'score': semantic * 0.62 + lexical * 0.22 + path_boost + kind_boost, 'semantic': semantic}}) AS b FROM s GROUP BY id)
+SELECT id, round(b.score, 9) AS score, round(b.semantic, 9) AS semantic FROM b""")
 def cp5(spark: SparkSession, d: str) -> DataFrame:
-    """Share of the question's words in a unit's heading and in its text, with a boost for its directory."""
-    asked = T.search_tokens(F.lit("the anthor of thenan and erly for token"))
-    share = lambda x: F.size(F.filter(asked, lambda w: F.contains(x, w))) / F.size(asked)
-    u = units(spark, d).select("id", "path", F.lower(F.substring_index("text", "\n", 1)).alias("title"), F.lower("text").alias("body"))
-    return u.select("id", F.round(0.62 * share(F.col("title")) + 0.22 * share(F.col("body")) + F.when(F.col("path").startswith("src1/"), 0.08).otherwise(0.0), 9).alias("score"))
+    """Structural scores of units; each stands under two headings here, its first line and its path, and the better one counts."""
+    headings = F.explode(F.array(F.substring_index("text", "\n", 1), F.col("path"))).alias("title")
+    found = structural_scores(units(spark, d).select("id", "path", "kind", headings, "text"), _CP5, CHANGED)
+    return found.select("id", F.round("score", 9).alias("score"), F.round("semantic", 9).alias("semantic"))
+
+
+def structural_scores(nodes: DataFrame, question: str, changed: list[str], w: Weights = Weights()) -> DataFrame:
+    """id, score, semantic, lexical: the best of an item's nodes (id, path, kind, title, text) by overlap of the question with its heading
+    and its text (the scorer reads 10,000 characters of it), nearness to changed paths, and kind (CP5)."""
+    asked = T.search_tokens(F.lit(question))
+    dirs = sorted({p.rpartition("/")[0] for p in changed if "/" in p})
+    tokens = nodes.select("id", "path", "kind", T.search_tokens(F.col("title")).alias("tt"), T.search_tokens(F.substring("text", 1, 10_000)).alias("tx"))
+    near = F.when(F.col("path").isin(changed), w.changed_path).when(T.directory(F.col("path")).isin(dirs), w.same_directory).otherwise(0.0)
+    kind = F.when(F.col("kind") == "symbol", w.symbol).when(F.col("kind") == "chunk", w.chunk).otherwise(0.0)
+    parts = tokens.select("id", (near + kind).alias("boost"), T.overlap_score(asked, F.col("tt")).alias("semantic"), T.overlap_score(asked, F.col("tx")).alias("lexical"))
+    score = F.col("semantic") * w.semantic + F.col("lexical") * w.lexical + F.col("boost")
+    best = parts.groupBy("id").agg(F.max(F.struct(score.alias("score"), "semantic", "lexical")).alias("b"))
+    return best.select("id", "b.*")
 
 
 @query("tk12_matching_files", "SELECT doc_id FROM documents WHERE regexp_matches(text, 'stup[a-z]d|clown') ORDER BY doc_id DESC LIMIT 2000")

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..catalog import deps, table
+from ..catalog import deps, graph_edges, graph_nodes, table
+from ..plans.traversal import FACTORS, reachable, traversal_steps
 from ..registry import query
 
 _SYMBOLS_SQL = """SELECT o_custkey AS file, o_orderkey AS symbol, o_orderkey % 200 AS first, o_orderkey % 200 + CAST(floor(o_totalprice / 10000) AS BIGINT) AS last, 's' || (o_orderkey % 6000) AS name FROM orders"""
-_REFS_SQL = """SELECT l_suppkey * 3 AS file, l_linenumber * 17 + l_partkey % 100 AS line, 'app.mod.s' || (l_partkey % 500) || '()' AS raw, l_orderkey AS ref, l_partkey, l_linenumber FROM lineitem WHERE l_orderkey % 5 = 0"""
+_REFS_SQL = """SELECT l_suppkey * 3 AS file, l_linenumber * 17 + l_partkey % 100 AS line, 'app.mod.s' || (l_partkey % 500) || '()' AS raw, l_orderkey AS ref, l_partkey, l_linenumber FROM lineitem"""
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -27,8 +28,7 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
 
 def references(spark: SparkSession, d: str) -> DataFrame:
     """Places in files that name a symbol."""
-    rows = table(spark, d, "lineitem").where("l_orderkey % 5 = 0")
-    return rows.select((F.col("l_suppkey") * 3).alias("file"), F.expr("l_linenumber * 17 + l_partkey % 100").alias("line"), F.expr("concat('app.mod.s', l_partkey % 500, '()')").alias("raw"), F.col("l_orderkey").alias("ref"), "l_partkey", "l_linenumber")
+    return table(spark, d, "lineitem").select((F.col("l_suppkey") * 3).alias("file"), F.expr("l_linenumber * 17 + l_partkey % 100").alias("line"), F.expr("concat('app.mod.s', l_partkey % 500, '()')").alias("raw"), F.col("l_orderkey").alias("ref"), "l_partkey", "l_linenumber")
 
 
 def reference_name(raw: str) -> Column:
@@ -165,30 +165,21 @@ def cp6_modules(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(F.expr("concat('m', from_id % 12)").alias("from_module"), F.expr("concat('m', to_id % 12)").alias("to_module")).agg(F.count("*").alias("weight"))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, depth: int = 3, least: float = 0.07) -> DataFrame:
-    """Best score of every node within `depth` steps: the largest product of edge factors from a seed.
+_FACTORS_SQL = ", ".join(f"('{kind}', '{way}', {share})" for (kind, way), share in FACTORS.items())
+_STEPS_SQL = f"""w AS (SELECT repo, from_id AS id, to_id AS next, type, 'out' AS way, weight FROM graph_edges UNION ALL SELECT repo, to_id, from_id, type, 'in', weight FROM graph_edges),
+t AS (SELECT w.*, share * least(1.28, 1 + log10(greatest(1, weight)) * 0.22) AS factor, ['file', 'symbol', 'file', 'directory', 'module'][next % 5 + 1] AS next_type FROM w JOIN (VALUES {_FACTORS_SQL}) v(type, way, share) USING (type, way)),
+k AS (SELECT *, row_number() OVER (PARTITION BY repo, id, type, way, next_type ORDER BY factor DESC, next) AS r FROM t),
+f AS (SELECT repo, id, next, max(factor) AS factor FROM k WHERE r <= CASE WHEN type IN ('file_dep', 'module_dep', 'symbol_imports_file', 'exports_symbol', 'references_symbol') THEN 8 WHEN type IN ('dir_contains_file', 'dir_contains_dir', 'module_contains') THEN 2 ELSE 4 END GROUP BY ALL)"""
+_LEVELS_SQL = ", ".join(f"x{i} AS (SELECT repo, f.next AS id, max(score * factor) AS score, {i} AS depth FROM x{i - 1} JOIN f USING (repo, id) WHERE score * factor >= 0.07 GROUP BY ALL)" for i in (1, 2, 3))
 
-    This is the set-based form of traversal, without fan-out and visit budgets (those depend on the order of visits; see
-    `best_first`). Each level keeps one row per node.
-    """
-    best = seeds.select("id", "score", F.lit(0).alias("depth"))
-    level = best
-    for step in range(1, depth + 1):
-        moved = level.join(edges, level["id"] == edges["from_id"]).select(F.col("to_id").alias("id"), (F.col("score") * F.col("factor")).alias("score")).where(F.col("score") >= least)
-        level = moved.groupBy("id").agg(F.max("score").alias("score")).withColumn("depth", F.lit(step))
-        best = best.unionByName(level)
-    return best.groupBy("id").agg(F.max("score").alias("score"), F.min("depth").alias("depth"))
 
-
-@query("cp7_set_traversal", f"""WITH RECURSIVE {_EDGES_SQL}, f AS (SELECT from_id, to_id, least(1.0, 0.6 * least(1.28, 1 + 0.22 * log10(weight))) AS factor FROM w WHERE type = 'file_dep' AND weight > 4),
-x AS (SELECT CAST(s_suppkey AS BIGINT) AS id, CAST(1.0 AS DOUBLE) AS score, 0 AS depth FROM supplier WHERE s_suppkey IN (3, 7)
-UNION ALL SELECT f.to_id, x.score * f.factor, x.depth + 1 FROM x JOIN f ON x.id = f.from_id WHERE x.depth < 3 AND x.score * f.factor >= 0.07)
-SELECT id, round(max(score), 9) AS score, CAST(min(depth) AS INTEGER) AS depth FROM x GROUP BY id""")
+@query("cp7_set_traversal", f"""WITH {_STEPS_SQL}, x0 AS (SELECT unnest(range(7)) AS repo, unnest(range(7)) AS id, CAST(1.0 AS DOUBLE) AS score, 0 AS depth), {_LEVELS_SQL}
+SELECT repo, id, round(max(score), 9) AS score, min(depth) AS depth FROM (SELECT * FROM x0 UNION ALL SELECT * FROM x1 UNION ALL SELECT * FROM x2 UNION ALL SELECT * FROM x3) GROUP BY repo, id""")
 def cp7_sets(spark: SparkSession, d: str) -> DataFrame:
-    e = weighted_edges(deps(spark, d)).where("type = 'file_dep' and weight > 4")
-    factors = e.select("from_id", "to_id", F.least(F.lit(1.0), 0.6 * F.least(F.lit(1.28), 1 + 0.22 * F.log10("weight"))).alias("factor"))
-    seeds = table(spark, d, "supplier").where("s_suppkey in (3, 7)").select(F.col("s_suppkey").alias("id"), F.lit(1.0).alias("score"))
-    return reachable(factors, seeds).select("id", F.round("score", 9).alias("score"), "depth")
+    """The best score of all nodes within three steps of a seed, in every repository."""
+    steps = traversal_steps(graph_edges(spark, d), graph_nodes(spark, d))
+    seeds = spark.range(7).select(F.col("id").alias("repo"), "id", F.lit(1.0).alias("score"))
+    return reachable(steps, seeds).select("repo", "id", F.round("score", 9).alias("score"), "depth")
 
 
 @query("sf18_import_roots", r"""SELECT spec, CASE WHEN clean LIKE '.%' OR clean LIKE '/%' THEN NULL WHEN clean LIKE '@%' THEN split_part(clean, '/', 1) || '/' || split_part(clean, '/', 2) ELSE split_part(clean, '/', 1) END AS root
@@ -285,11 +276,11 @@ def jn16(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey").join(counts, "c_custkey", "left").fillna(0, ["orders", "items"])
 
 
-@query("wn6_line_context", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id % 10 = 0)
+@query("wn6_line_context", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
 SELECT doc_id, CAST(n AS INTEGER) AS n, sha256(string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)) AS context FROM l""")
 def wn6(spark: SparkSession, d: str) -> DataFrame:
     """Each line's hash with up to three lines on either side."""
-    lines = table(spark, d, "documents").where("doc_id % 10 = 0").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     near = Window.partitionBy("doc_id").orderBy("n").rowsBetween(-3, 3)
     return lines.select("doc_id", (F.col("n") + 1).alias("n"), F.sha2(F.array_join(F.collect_list("line").over(near), "\n"), 256).alias("context"))
 

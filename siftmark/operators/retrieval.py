@@ -113,6 +113,31 @@ def sf7(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", T.repo_path(raw).alias("path"))
 
 
+_RAW_SQL = r"SELECT page_id, '/./' || replace(split_part(url, '://', 2), '.', '\') || '//x/./y///z' AS raw FROM pages"
+
+
+@query("sf7_other_paths", rf"SELECT page_id, regexp_replace(regexp_replace(replace(raw, '\', '/'), '^\./', ''), '/+', '/', 'g') AS graph, replace(ltrim(replace(replace(trim(raw), '\', '/'), './', ''), '/'), '//', '/') AS structural FROM ({_RAW_SQL})")
+def sf7_others(spark: SparkSession, d: str) -> DataFrame:
+    """The other two forms of paths: the graph's and the structural scorer's."""
+    raw = F.concat(F.lit("/./"), F.expr(r"replace(split_part(url, '://', 2), '.', '\\')"), F.lit("//x/./y///z"))
+    return table(spark, d, "pages").select("page_id", T.graph_path(raw).alias("graph"), T.structural_path(raw).alias("structural"))
+
+
+@query("sf37_weights", "SELECT l_orderkey, l_linenumber, least(1.0, greatest(0.0, CAST(CASE WHEN l_linenumber = 3 THEN 0.25 ELSE l_discount * 20 - 0.5 END AS DOUBLE))) AS weight FROM lineitem")
+def sf37(spark: SparkSession, d: str) -> DataFrame:
+    """Weights within [0, 1]; those that are no number take the default."""
+    raw = F.when(F.col("l_linenumber") == 3, F.when(F.col("l_orderkey") % 2 == 0, float("nan")).otherwise(float("inf"))).otherwise(F.col("l_discount").cast("double") * 20 - 0.5)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.clean_weight(raw, 0.25).alias("weight"))
+
+
+@query("tk11_bounded_ints", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 20 WHEN 1 THEN least(100, greatest(1, p_size - 10)) WHEN 2 THEN least(100, greatest(1, p_partkey)) ELSE 1 END AS n FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size FROM part)")
+def tk11(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers of requests as texts, within 1 and 100, 20 where they are none."""
+    k = F.col("p_partkey")
+    text = F.when(k % 4 == 0, F.concat("p_name", F.lit(" x"))).when(k % 4 == 1, F.concat((F.col("p_size") - 10).cast("string"), F.lit(".9"))).when(k % 4 == 2, k.cast("string")).otherwise("-3.5")
+    return table(spark, d, "part").select("p_partkey", T.bounded_int(text, 20, 1, 100).alias("n"))
+
+
 @query("sf8_ancestors", "WITH p AS (SELECT page_id, split_part(split_part(url, '://', 2), '?', 1) AS p FROM pages), d AS (SELECT page_id, p, string_split(p, '/') AS parts FROM p) SELECT page_id, CASE WHEN contains(p, '/') THEN regexp_replace(p, '/[^/]*$', '') ELSE '' END AS dir, CASE WHEN len(parts) > 1 THEN array_to_string(list_transform(range(len(parts) - 1, 0, -1), lambda n: array_to_string(parts[1:n], '/')), ' ') ELSE '' END AS chain FROM d")
 def sf8(spark: SparkSession, d: str) -> DataFrame:
     p = F.expr("split_part(split_part(url, '://', 2), '?', 1)")

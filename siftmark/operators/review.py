@@ -65,15 +65,33 @@ def composite_match(title: Column, body: Column, distance: Column, same_side: Co
     return F.when(close & (score >= 0.5), score)
 
 
+def sharing_pairs(new: DataFrame, old: DataFrame, on: list[str], tokens: str, least: float) -> DataFrame:
+    """id, o_id: pairs with equal `on` whose token sets can reach a Jaccard likeness of `least`, without meeting all of a group.
+
+    Both sides are indexed by their rarest tokens only, as many as can't all be missing from the other: two sets that are like enough share one of these.
+    `new` has id, `old` o_id, both `on` and `tokens`.
+    """
+    often = old.select(F.explode(tokens).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+
+    def rare(df: DataFrame, id: str) -> DataFrame:
+        counted = df.select(id, *on, F.explode(tokens).alias("t")).join(often, "t", "left")
+        sorted_ = counted.groupBy(id, *on).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t"))).alias("ts"))
+        some = F.slice("ts", F.lit(1), (F.size("ts") - F.ceil(F.size("ts") * least - 1e-9) + 1).cast("int"))
+        return sorted_.select(id, *on, F.explode(some).alias("x")).select(id, *on, "x.t")
+
+    return rare(new, "id").join(rare(old, "o_id"), [*on, "t"]).select("id", "o_id").distinct()
+
+
 @query("sf6_best_match", f"""WITH c AS ({_COMMENTS_SQL}), t AS (SELECT *, {_title_tokens('title')} AS tt, {_title_tokens('body')} AS bt FROM c),
-j AS (SELECT n.id, o.id AS old_id, {_jaccard('n.tt', 'o.tt')} AS title, {_jaccard('n.bt', 'o.bt')} AS body, abs(o.line - n.line) AS dist, o.side = n.side AS ss, o.severity = n.severity AS sv FROM t n JOIN t o ON n.path = o.path AND n.category = o.category AND n.id % 2 = 0 AND o.id % 2 = 0 AND o.id < n.id AND n.id < o.id + 1000),
+j AS (SELECT n.id, o.id AS old_id, {_jaccard('n.tt', 'o.tt')} AS title, {_jaccard('n.bt', 'o.bt')} AS body, abs(o.line - n.line) AS dist, o.side = n.side AS ss, o.severity = n.severity AS sv FROM t n JOIN t o ON n.path = o.path AND n.category = o.category AND o.id < n.id),
 s AS (SELECT *, title * 0.64 + body * 0.16 + CASE WHEN dist <= 2 THEN 1.0 WHEN dist <= 6 THEN 0.9 WHEN dist <= 12 THEN 0.75 WHEN dist <= 25 THEN 0.55 ELSE 0.3 END * 0.14 + CASE WHEN ss THEN 1.0 ELSE 0.7 END * 0.04 + CASE WHEN sv THEN 1.0 ELSE 0.7 END * 0.02 AS score FROM j WHERE title >= 0.5 OR (title >= 0.34 AND dist <= 8))
 SELECT id, old_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(score, 9) DESC, old_id) AS r FROM s WHERE score >= 0.5) WHERE r = 1""")
 def sf6(spark: SparkSession, d: str) -> DataFrame:
     """The best old finding of the same path and category for each new one; ties go to the older."""
-    c = comments(spark, d).where("id % 2 = 0").select("id", "path", "category", "side", "severity", "line", T.title_tokens(F.col("title")).alias("tt"), T.title_tokens(F.col("body")).alias("bt"))
-    old = c.select("path", "category", *(F.col(x).alias(f"o_{x}") for x in ("id", "side", "severity", "line", "tt", "bt")))
-    pairs = c.join(old, ["path", "category"]).where("o_id < id and id < o_id + 1000")
+    c = comments(spark, d).select("id", "path", "category", "side", "severity", "line", T.title_tokens(F.col("title")).alias("tt"), T.title_tokens(F.col("body")).alias("bt"))
+    old = c.select(F.col("id").alias("o_id"), "path", "category", "tt")
+    rest = c.select(*(F.col(x).alias(f"o_{x}") for x in ("id", "side", "severity", "line", "tt", "bt")))
+    pairs = sharing_pairs(c, old, ["path", "category"], "tt", 0.34).where("o_id < id").join(c, "id").join(rest, "o_id")
     score = composite_match(T.jaccard(F.col("tt"), F.col("o_tt")), T.jaccard(F.col("bt"), F.col("o_bt")), F.abs(F.col("line") - F.col("o_line")), F.col("side") == F.col("o_side"), F.col("severity") == F.col("o_severity"))
     scored = pairs.select("id", "o_id", F.round(score, 9).alias("score")).where("score is not null")
     best = scored.groupBy("id").agg(F.max(F.struct("score", (-F.col("o_id")).alias("o"))).alias("b"))
@@ -257,32 +275,59 @@ def jn13(spark: SparkSession, d: str) -> DataFrame:
 
 
 def match_in_order(new: DataFrame, old: DataFrame) -> DataFrame:
-    """id and matched of each new finding of a request (JN12): an exact key first, then the nearest line of the same hunk and category.
+    """id, matched and step of each new finding of a request (JN12), in input order: an exact key (1), the nearest line of the same hunk and
+    category (2), the most alike by title, body, line, side and severity (3, as SF6), the nearest line of the same title (4).
 
-    Each old finding is consumed by one new one, in input order, but an exact key doesn't ask whether it was. The order matters, so
-    a request is handled in one group; requests spread over the cluster.
+    Each old finding is consumed by one new one, but an exact key doesn't ask whether it was. All four steps stay within a path, so a
+    request's path is a group; in it every step looks old findings up by its own key. Columns: request, path, id, ordinal, line,
+    hunk, category, key, title_key, side, severity, tt and bt (tokens of title and body).
     """
 
     def run(key: tuple, fresh: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        exact: dict[str, int] = {}
+        by: dict[tuple, list] = {}
+        for o in known.sort_values("id").itertuples():
+            exact.setdefault(o.key, o.id)
+            by.setdefault((2, o.hunk, o.category), []).append(o)
+            by.setdefault((4, o.title_key), []).append(o)
+            for t in set(o.tt):
+                by.setdefault((3, o.category, t), []).append(o)
         rows, used = [], set()
-        known = known.sort_values("id")
-        exact = {k: i for k, i in zip(known["key"][::-1], known["id"][::-1], strict=True)}
+        likeness = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
+
+        def nearest(where: tuple, line: int) -> int | None:
+            return min(((abs(o.line - line), o.id) for o in by.get(where, ()) if o.id not in used), default=(0, None))[1]
+
+        def alike(row) -> int | None:
+            titles, bodies, best = set(row.tt), set(row.bt), (0.5, 0)
+            for o in {o.id: o for t in titles for o in by.get((3, row.category, t), ()) if o.id not in used}.values():
+                title, gap = likeness(titles, set(o.tt)), abs(o.line - row.line)
+                near = 1.0 if gap <= 2 else 0.9 if gap <= 6 else 0.75 if gap <= 12 else 0.55 if gap <= 25 else 0.3
+                score = title * 0.64 + likeness(bodies, set(o.bt)) * 0.16 + near * 0.14 + (1 if o.side == row.side else 0.7) * 0.04 + (1 if o.severity == row.severity else 0.7) * 0.02
+                if title >= 0.5 or title >= 0.34 and gap <= 8:
+                    best = max(best, (score, -o.id))
+            return -best[1] if best[1] else None
+
         for row in fresh.sort_values("ordinal").itertuples():
-            found = exact.get(row.key)
-            if found is None:
-                near = [(abs(o.line - row.line), o.id) for o in known.itertuples() if o.hunk == row.hunk and o.category == row.category and o.id not in used]
-                found = min(near)[1] if near else None
+            found, step = exact.get(row.key), 1
+            for step, look in ((2, lambda: nearest((2, row.hunk, row.category), row.line)), (3, lambda: alike(row)), (4, lambda: nearest((4, row.title_key), row.line))) if found is None else ():
+                found = look()
+                if found is not None:
+                    break
             if found is not None:
                 used.add(found)
-            rows.append((key[0], row.id, found))
-        return pd.DataFrame(rows, columns=["request", "id", "matched"]).astype({"matched": "Int64"})
+            rows.append((key[0], row.id, found, step if found is not None else None))
+        return pd.DataFrame(rows, columns=["request", "id", "matched", "step"]).astype({"matched": "Int64", "step": "Int32"})
 
-    return new.groupBy("request").cogroup(old.groupBy("request")).applyInPandas(run, "request long, id long, matched long")
+    return new.groupBy("request", "path").cogroup(old.groupBy("request", "path")).applyInPandas(run, "request long, id long, matched long, step int")
 
 
 @query("jn12_match_cascade")
 def jn12(spark: SparkSession, d: str) -> DataFrame:
-    c = comments(spark, d).select((F.col("id") % 45).alias("request"), "id", "ordinal", "line", "category", (F.col("line") / 40).cast("long").alias("hunk"), F.concat_ws("|", "path", "title").alias("key"))
+    c = comments(spark, d).select(
+        (F.col("id") % 9).alias("request"), "path", "id", "ordinal", "line", F.floor(F.col("line") / 40).alias("hunk"), "category", F.concat_ws("|", "path", "title").alias("key"), T.semantic_key(F.col("path"), F.col("category"), F.col("title")).alias("title_key"),
+        "side", "severity", T.title_tokens(F.col("title")).alias("tt"), T.title_tokens(F.col("body")).alias("bt"),
+    )
     old = c.where("id % 2 = 0").select(*(F.col(x).alias(f"o_{x}") for x in c.columns)).toDF(*c.columns)
     return match_in_order(c.where("id % 2 = 1"), old)
 
@@ -329,7 +374,7 @@ def changed_lines(diffs: DataFrame, id: str = "id", patch: str = "patch") -> Dat
     return placed.where("line > 0").select(id, path.alias("path"), F.col("line").cast("long").alias("line")).distinct()
 
 
-_DIFF_SQL = """SELECT doc_id AS id, doc_id % 30 + 1 AS start, 'src/' || source || '.ts' AS path, list_transform(string_split_regex(text, '[\\n.]+'), lambda x: ['+', '-', ' '][length(x) % 3 + 1] || 'x' || x) AS ls FROM documents WHERE doc_id % 4 = 0"""
+_DIFF_SQL = """SELECT doc_id AS id, doc_id % 30 + 1 AS start, 'src/' || source || '.ts' AS path, list_transform(string_split_regex(text, '[\\n.]+'), lambda x: ['+', '-', ' '][length(x) % 3 + 1] || 'x' || x) AS ls FROM documents"""
 
 
 @query("sf20_changed_lines", f"""WITH d AS ({_DIFF_SQL}), l AS (SELECT id, start, path, unnest(ls) AS l, generate_subscripts(ls, 1) AS n FROM d),
@@ -337,7 +382,7 @@ w AS (SELECT *, substr(l, 1, 1) AS s, sum(CASE WHEN substr(l, 1, 1) <> '-' THEN
 g AS (SELECT *, past - CASE WHEN s <> '-' THEN 1 ELSE 0 END AS before, sum(CASE WHEN s = '-' THEN 1 ELSE 0 END) OVER (PARTITION BY id, past ORDER BY n) AS run FROM w)
 SELECT DISTINCT id, path, CAST(CASE WHEN s = '+' THEN start + before ELSE greatest(1, start + before + run - 1) END AS BIGINT) AS line FROM g WHERE s IN ('+', '-')""")
 def sf20(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("doc_id % 4 = 0")
+    docs = table(spark, d, "documents")
     body = F.transform(F.split("text", "[\n.]+"), lambda x: F.concat(F.element_at(F.array(F.lit("+"), F.lit("-"), F.lit(" ")), (F.length(x) % 3 + 1).cast("int")), F.lit("x"), x))
     patch = F.concat(F.lit("--- a/src/x\n+++ b/src/"), F.col("source"), F.lit(".ts\n@@ -1,5 +"), (F.col("doc_id") % 30 + 1).cast("string"), F.lit(",9 @@ f\n"), F.array_join(body, "\n"))
     return changed_lines(docs.select(F.col("doc_id").alias("id"), patch.alias("patch")))

@@ -1,4 +1,4 @@
-"""Registered queries of file sources and stateful folds (SC1, ST8)."""
+"""Registered queries of file sources, sinks, streams and stateful folds (SC1, SC7, SC9 to SC11, SC17, ST1, ST8, ST11)."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import table
 from ..registry import query
-from ..sources.files import walk
-from ..streaming.logs import turns
+from ..sources.files import append_metrics, export_events, parse_configs, seeded, shared_folder, walk, write_bundle
+from ..streaming.logs import event_stream, log_sink, turns
 
 
 @query("sc1_walk")
@@ -18,6 +18,71 @@ def sc1(spark: SparkSession, d: str) -> DataFrame:
     return files.groupBy("name").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
 
 
-@query("st8_turns")
+@query("st8_turns", """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+x AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(items BIGINT, first_id BIGINT, last_id BIGINT)[]) AS t FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT x.user_id, e.n, CASE WHEN event_type = 'signup' THEN list_append(t, {'items': CAST(1 AS BIGINT), 'first_id': event_id, 'last_id': event_id}) WHEN event_type = 'error' THEN t[:-2] WHEN len(t) = 0 THEN t
+  ELSE list_append(t[:-2], {'items': t[-1].items + 1, 'first_id': t[-1].first_id, 'last_id': event_id}) END FROM x JOIN e ON e.user_id = x.user_id AND e.n = x.n + 1),
+z AS (SELECT user_id, arg_max(t, n) AS t FROM x GROUP BY user_id)
+SELECT user_id, turn, s.items AS items, s.first_id AS first_id, s.last_id AS last_id FROM (SELECT user_id, unnest(range(len(t))) AS turn, unnest(t) AS s FROM z)""")
 def st8(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of every user; the SQL replays events one by one instead."""
     return turns(table(spark, d, "events").select("user_id", "event_id", "event_type"))
+
+
+@query("sc7_configs", "SELECT CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS BIGINT) WHEN 1 THEN p_partkey END AS cap, CASE p_partkey % 3 WHEN 0 THEN 'unknown keys: x' WHEN 1 THEN 'repaired' ELSE 'no configuration found' END AS warning, count(*) AS n FROM part GROUP BY ALL")
+def sc7(spark: SparkSession, d: str) -> DataFrame:
+    """Configurations as texts of a table: whole, with noise around them, or none at all."""
+    k = F.col("p_partkey")
+    text = F.when(k % 3 == 0, F.concat(F.lit('{"x": 1, "cap": '), "p_size", F.lit("}"))).when(k % 3 == 1, F.concat(F.lit('see {"cap": '), k, F.lit("} or ask"))).otherwise(F.col("p_name"))
+    found = parse_configs(table(spark, d, "part").select(k.alias("file"), text.alias("text")), "cap long")
+    return found.groupBy("cap", "warning").agg(F.count("*").alias("n"))
+
+
+@query("sc9_event_export", "SELECT event_id AS created, event_type, props AS payload FROM events")
+def sc9(spark: SparkSession, d: str) -> DataFrame:
+    """Events exported as CSV and read back."""
+    path = shared_folder(spark, "export")
+    export_events(table(spark, d, "events").select(F.col("event_id").alias("created"), "event_type", F.col("props").alias("payload")), path)
+    return spark.read.option("header", "true").option("escape", '"').schema("created long, event_type string, payload string").csv(path)
+
+
+@query("sc10_metric_lines", "SELECT event_type, 2 * count(*) AS n FROM events GROUP BY 1")
+def sc10(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics appended twice as JSON lines, and read back."""
+    path = shared_folder(spark, "metrics")
+    for _ in range(2):
+        append_metrics(table(spark, d, "events").select("event_id", "event_type"), path)
+    return spark.read.schema("event_id long, event_type string").json(path).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("sc11_run_bundle", "SELECT 'names' AS part, CAST(count(*) AS BIGINT) AS rows FROM part UNION ALL SELECT 'regions', count(*) FROM region")
+def sc11(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of a run's bundle, read back."""
+    path = shared_folder(spark, "bundle")
+    write_bundle({"names": table(spark, d, "part").select("p_name"), "regions": table(spark, d, "region")}, path)
+    count = lambda df, name: df.select(F.lit(name).alias("part")).groupBy("part").agg(F.count("*").alias("rows"))
+    return count(spark.read.text(f"{path}/names"), "names").unionByName(count(spark.read.schema("r_regionkey long").json(f"{path}/regions"), "regions"))
+
+
+@query("sc17_seeded", "SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+def sc17(spark: SparkSession, d: str) -> DataFrame:
+    """An index that is empty gets its seed; one that isn't stays as it is."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
+    regions = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"))
+    return seeded(nations.where("false"), nations).unionByName(seeded(regions, nations))
+
+
+@query("st1_log_sink", "SELECT event_type, count(*) AS n, CAST(sum(strlen(props) + strlen(event_type) + 8) AS BIGINT) AS bytes FROM events GROUP BY 1")
+def st1(spark: SparkSession, d: str) -> DataFrame:
+    """Events as a stream of files through the log sink, until all of them are written."""
+    path = shared_folder(spark, "sink")
+    log_sink(event_stream(spark, f"{d}/events*.parquet"), f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    out = spark.read.schema("event_type string, bytes long").parquet(f"{path}/out")
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+
+
+@query("st11_job_dedupe", "SELECT 'review-' || (o_custkey % 500) || '-' || o_orderstatus AS job_id, min(o_orderkey) AS first FROM orders GROUP BY 1")
+def st11(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs once per id, however often they are asked for: the first asked for stays (its queue and retries are out of scope)."""
+    job = F.concat_ws("-", F.lit("review"), F.col("o_custkey") % 500, "o_orderstatus")
+    return table(spark, d, "orders").groupBy(job.alias("job_id")).agg(F.min("o_orderkey").alias("first"))

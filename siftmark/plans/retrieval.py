@@ -16,6 +16,20 @@ from ..operators.ranking import global_rank, top_per
 from ..functions.text import ancestors, directory, overlap_score, path_hints, repo_path, search_tokens
 
 
+#: The scored rows of the last retrieval.
+_KEPT: list[DataFrame] = []
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Narrow rows without texts, which both ranks and both anchors read, stay in memory until the next retrieval's replace them."""
+    while _KEPT:
+        if _KEPT[-1].sparkSession is df.sparkSession:
+            _KEPT[-1].unpersist()
+        _KEPT.pop()
+    _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+    return _KEPT[0]
+
+
 def clean_weight(value: float | None, other: float) -> float:
     """A weight in [0, 1]: non-finite gives the default, negative gives 0 (SF37)."""
     if value is None or value != value or value in (float("inf"), float("-inf")):
@@ -84,8 +98,7 @@ def scored_units(units: DataFrame, query: str, changed: list[str], weights: Weig
         .select("id", "path", "kind", "semantic", "lexical", "path_boost", "pattern_boost", "kind_boost")
     )
     base = base.withColumn("base", F.col("semantic") * w.semantic + F.col("lexical") * w.lexical + F.col("path_boost") + F.col("pattern_boost") + F.col("kind_boost"))
-    # narrow rows without texts, read by both ranks and both anchors
-    base = base.persist(StorageLevel.MEMORY_AND_DISK)
+    base = _kept(base)
     # CP3: the best of a path is its anchor
     best = base.groupBy("path").agg(F.greatest(F.lit(0.0), F.max(F.col("semantic") * 0.66 + F.col("lexical") * 0.34 + F.col("path_boost"))).alias("anchor"))
     anchored = base.join(best, "path")

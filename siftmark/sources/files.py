@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,13 +27,17 @@ def walk(spark: SparkSession, root: str, ignored: list[str] = IGNORED) -> DataFr
 
 
 def read_config(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Fields of JSON configuration files, one row per file, with `warning` (SC7): broken JSON is repaired by looking for an object in it, else gives nulls."""
+    """Fields of JSON configuration files, one row per file, with `warning` (SC7)."""
+    return parse_configs(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text")), schema)
+
+
+def parse_configs(texts: DataFrame, schema: StructType | str) -> DataFrame:
+    """Fields of configurations (file, text), one row per file, with `warning`: broken JSON is repaired by looking for an object in it, simple `key: value` lines are read as they are, else fields are null."""
     import json
 
     import pyarrow as pa
 
-    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
-    keys = set(schema.fieldNames())
+    keys = set((schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).fieldNames())
     repaired = exploded(texts, "file", "text", lambda x: [_repair(x, keys, json)], [("json", pa.string(), "string"), ("warning", pa.string(), "string")])
     return repaired.select("file", F.from_json("json", schema).alias("c"), "warning").select("file", "c.*", "warning")
 
@@ -44,9 +52,30 @@ def _repair(text: str, keys: set[str], json) -> tuple[str | None, str | None]:
     for key in sorted(keys):
         if (found := find_json(text, {key})) is not None:
             return json.dumps(found), "repaired"
+    plain = {k: v for k, v in re.findall(r"(?m)^([A-Za-z_]\w*):[ \t]+(\S.*?)\s*$", text) if k in keys}
+    if plain:
+        return json.dumps({k: _scalar(v, json) for k, v in plain.items()}), "read as lines"
     return None, "no configuration found"
 
 
+def _scalar(x: str, json) -> object:
+    """A number, truth value or null as JSON has them, else the text itself, without quotes around it."""
+    try:
+        return json.loads(x)
+    except ValueError:
+        return x.strip("'")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir); a temporary one on a single machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-siftmark-')}"
+    return f"{base.rstrip('/')}/siftmark-{name}-{uuid.uuid4().hex}"
+
+
 def export_events(df: DataFrame, path: str) -> None:
     """Events as CSV, newest first (SC9). Unlike what it replaces, the payload is quoted, so commas in it don't break rows."""
     df.orderBy(F.desc("created")).write.option("header", "true").option("quoteAll", "true").option("escape", '"').mode("overwrite").csv(path)

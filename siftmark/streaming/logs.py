@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -62,18 +62,20 @@ def open_items(events: DataFrame) -> DataFrame:
 
 
 def turns(events: DataFrame) -> DataFrame:
-    """user_id, turn, items, first_id, last_id of a batch of events (ST8): a signup begins a turn, an error takes the last one back."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[list[int]] = []
-        for id, kind in rows.sort_values("event_id")[["event_id", "event_type"]].itertuples(index=False):
-            if kind == "signup":
-                out.append([id])
-            elif kind == "error":
-                out = out[:-1]
-            elif out:
-                out[-1].append(id)
-        user = rows["user_id"].iloc[0] if len(rows) else 0
-        return pd.DataFrame([(user, i, len(x), x[0], x[-1]) for i, x in enumerate(out)], columns=["user_id", "turn", "items", "first_id", "last_id"]).astype("int64")
-
-    return events.groupBy("user_id").applyInPandas(run, "user_id long, turn long, items long, first_id long, last_id long")
+    """user_id, turn, items, first_id, last_id of a batch of events (ST8): a signup begins a turn, an error takes the last one back.
+
+    Turns are a stack, so running sums give each event its level: how many turns are open. A level's events between two
+    beginnings are one turn; it lasts if no error ends it. What is kept of a user is two running numbers, not their events.
+    """
+    step = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
+    at = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = events.select("user_id", "event_id", step.alias("step")).withColumn("sum", F.sum("step").over(at))
+    # an error without a turn takes nothing back
+    levels = summed.withColumn("level", F.col("sum") - F.least(F.lit(0), F.min("sum").over(at)))
+    undone = (F.col("step") == -1).cast("int")
+    # an error belongs to the level that it ends; at the bottom it may have had nothing to end
+    own = levels.withColumn("level", F.col("level") + undone).where("level > 0")
+    inside = Window.partitionBy("user_id", "level").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = own.withColumn("turn", F.sum(F.when(F.col("step") == 1, 1).otherwise(0)).over(inside)).where("turn > 0")
+    kept = numbered.groupBy("user_id", "level", "turn").agg(F.count(F.when(F.col("step") >= 0, 1)).alias("items"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.max(undone).alias("undone")).where("undone = 0")
+    return kept.select("user_id", (F.col("level") - 1).cast("long").alias("turn"), "items", "first_id", "last_id")

@@ -7,10 +7,10 @@ from conftest import SF
 from siftmark.functions import procedures as P
 from siftmark.functions import text as T
 from siftmark.operators.graph import promote_edges
-from siftmark.operators.review import changed_lines, match_in_order, publishable
+from siftmark.operators.review import changed_lines, match_in_order, publishable, sharing_pairs
 from siftmark.operators.scalars import glob_pattern
 from siftmark.plans.retrieval import bounded_int, clean_weight, diversified_top
-from siftmark.plans.traversal import Limits, best_first
+from siftmark.plans.traversal import Limits, best_first, fuse_context
 from siftmark.sources.files import append_metrics, export_events, read_config, seeded, walk, write_bundle
 from siftmark.streaming.logs import event_stream, log_sink, open_items, windowed_counts
 
@@ -107,20 +107,98 @@ def test_blank_paths_have_no_cap(spark):
     assert top(spark, [(i, None, float(i)) for i in range(1, 7)], 5, 1) == [6, 5, 4, 3, 2]
 
 
-def test_best_first_budget(spark):
-    edges = spark.createDataFrame([(1, 1, 2, "file_dep", 1), (1, 2, 3, "file_dep", 10), (1, 1, 4, "other", 1)], "repo long, from_id long, to_id long, type string, weight long")
-    seeds = spark.createDataFrame([(1, 1, 1.0)], "repo long, id long, score double")
-    got = {r.id: (round(r.score, 6), r.depth) for r in best_first(edges, seeds).collect()}
-    assert got == {1: (1.0, 0), 2: (0.72, 1), 3: (round(0.72 * 0.72 * 1.22, 6), 2), 4: (0.3, 1)}
-    assert best_first(edges, seeds, Limits(nodes=2)).count() == 2
+EDGE = "repo long, from_id long, to_id long, type string, weight long"
+
+
+def traversal(spark, edges, kinds=None, limits=Limits()):
+    ids = {x for e in edges for x in e[:2]}
+    nodes = spark.createDataFrame([(1, i, (kinds or {}).get(i, "file")) for i in ids], "repo long, id long, type string")
+    found = best_first(spark.createDataFrame([(1, *e) for e in edges], EDGE), nodes, spark.createDataFrame([(1, 1, 1.0)], "repo long, id long, score double"), limits)
+    return {r.id: r for r in found.collect()}
+
+
+def test_best_first_factors_by_type_and_direction(spark):
+    got = traversal(spark, [(1, 2, "file_dep", 1), (3, 1, "file_dep", 10), (2, 4, "references_symbol", 100), (5, 1, "dir_contains_file", 1), (1, 6, "unknown", 1)])
+    # out 0.74; in 0.88 * (1 + 0.22); then out 0.82 with the boost at its most of 1.28
+    assert {i: (round(r.score, 6), r.depth) for i, r in got.items()} == {1: (1.0, 0), 2: (0.74, 1), 3: (round(0.88 * 1.22, 6), 1), 4: (round(0.74 * 0.82 * 1.28, 6), 2)}
+    assert got[4].via == ["1 --file_dep--> 2", "2 --references_symbol--> 4"] and got[1].via == []
+    assert got[1].visited == 4 and traversal(spark, [(1, 2, "file_dep", 1), (2, 3, "file_dep", 1)], limits=Limits(nodes=1)).keys() == {1, 2}
+
+
+def test_best_first_fan_out_and_budget(spark):
+    # eight edges of a strong type from a node, two of a directory's; files go before symbols, as their rank is higher
+    star = [(1, i, "file_dep", 1) for i in range(10, 22)] + [(1, i, "dir_contains_file", 1) for i in range(30, 35)]
+    got = traversal(spark, star, {i: "symbol" for i in range(10, 16)})
+    assert {i for i in got if 10 <= i < 22} == {*range(16, 22), 10, 11} and {i for i in got if i >= 30} == {30, 31}
+    # the budget of a type: 120 * max(0.5, 100 / 2400), 80 at least
+    assert Limits(nodes=100).budget("dir_contains_dir") == 80 and Limits().budget("file_dep") == 953
+    chain = [(i, i * 10 + k, "contains_symbol", 1000) for i in (1, *range(10, 14), *range(100, 140)) for k in range(4)]
+    got = traversal(spark, chain, limits=Limits(nodes=20))
+    assert max(r.followed for r in got.values()) == 80
+
+
+def test_fusion(spark):
+    """A request with one changed file; scores and places worked out by hand."""
+    schema = "repo long, path string, score double, depth int"
+    graph = spark.createDataFrame([(1, "a/near.ts", 0.8, 1), (1, "b/two.ts", 0.3, 2), (1, "b/deep.ts", 0.9, 4), (1, "b/weak.ts", 0.2, 1), (1, "a/changed.ts", 1.0, 0)], schema)
+    retrieved = spark.createDataFrame([(1, "c/best.ts", 2.0), (1, "b/two.ts", 1.0), (1, "c/low.ts", 0.4)], "repo long, path string, score double")
+    hot = spark.createDataFrame([(1, "b/two.ts", 1, 5), (1, "c/low.ts", 0, 1)], "repo long, path string, open long, historical long")
+    changed = spark.createDataFrame([(1, "a/changed.ts")], "repo long, path string")
+    got = fuse_context(graph, retrieved, hot, changed).orderBy("place").collect()
+    # retrieval 2.0 is the most: shares 1, 0.5, 0.2; the last isn't near, nor hot, nor in the graph, so it has no score of its own
+    want = [("c/best.ts", "retrieval", 0.52), ("b/two.ts", "retrieval", 0.3 * 0.34 + 0.5 * 0.52 + 0.04 + 0.04 + 0.04), ("c/low.ts", "retrieval", None), ("b/deep.ts", "graph", None), ("a/near.ts", "graph", 0.8 * 0.34 + 0.06 + 0.08), ("b/weak.ts", "graph", None)]
+    assert [(r.path, r.source) for r in got] == [w[:2] for w in want] and [r.place for r in got] == list(range(1, 7))
+    assert [r.score for r in got] == [None if w[2] is None else pytest.approx(w[2]) for w in want]
+
+
+def test_fusion_reads_the_traversal(spark):
+    """CP8 on CP7's output: what traversal doesn't find can't come from the graph."""
+    from siftmark.catalog import graph_edges, graph_nodes
+    from siftmark.queries import QUERIES
+
+    files = graph_nodes(spark, SF).where("type = 'file'")
+    changed = {(r.repo, r.path) for r in files.where("id = 2 * repo or id = repo + 100").collect()}
+    seeds = files.where("id = 2 * repo or id = repo + 100").select("repo", "id", F.lit(1.0).alias("score"))
+    reached = {(r.repo, r.path) for r in best_first(graph_edges(spark, SF), graph_nodes(spark, SF), seeds).join(files, ["repo", "id"]).collect()}
+    got = QUERIES["cp8_traversal_fusion"](spark, SF).collect()
+    assert got and all((r.repo, r.path) in reached for r in got if r.source == "graph") and any(r.source == "graph" for r in got)
+    assert not {(r.repo, r.path) for r in got} & changed
+
+
+MATCH = "request long, path string, id long, ordinal long, line long, hunk long, category string, key string, title_key string, side string, severity string, tt array<string>, bt array<string>"
 
 
 def test_matching_consumes_old_findings(spark):
-    schema = "request long, id long, ordinal long, line long, category string, hunk long, key string"
-    new = spark.createDataFrame([(1, 1, 1, 10, "bug", 0, "x"), (1, 2, 2, 11, "bug", 0, "y"), (1, 3, 3, 12, "bug", 0, "z")], schema)
-    old = spark.createDataFrame([(1, 7, 1, 10, "bug", 0, "x"), (1, 8, 2, 30, "bug", 0, "q")], schema)
-    got = {r.id: r.matched for r in match_in_order(new, old).collect()}
-    assert got == {1: 7, 2: 8, 3: None}
+    row = lambda id, line, hunk, key, title_key, tt, category="bug": (1, "a.ts", id, id, line, hunk, category, key, title_key, "RIGHT", "nit", tt, [])
+    new = [row(1, 10, 0, "x", "n", ["one"]), row(2, 11, 0, "y", "n", ["two"]), row(3, 12, 0, "z", "n", ["three", "four"]), row(4, 13, 9, "w", "same", ["five"]), row(5, 14, 0, "v", "n", ["six"]), row(6, 10, 0, "x", "n", ["one"])]
+    old = [row(70, 10, 0, "x", "o", ["one"]), row(80, 30, 0, "q", "o", ["other"]), row(90, 500, 4, "r", "o", ["three", "four"]), row(95, 900, 7, "s", "same", ["seven"])]
+    got = {r.id: (r.matched, r.step) for r in match_in_order(spark.createDataFrame(new, MATCH), spark.createDataFrame(old, MATCH)).collect()}
+    # exact; nearest of the hunk; alike by title at any distance; same title; nothing left; exact keys don't ask whether they were taken
+    assert got == {1: (70, 1), 2: (80, 2), 3: (90, 3), 4: (95, 4), 5: (None, None), 6: (70, 1)}
+
+
+def test_rare_tokens_find_all_likely_pairs(spark):
+    import random
+
+    r = random.Random(4)
+    sets = [sorted({f"t{int(r.random() ** 2 * 30)}" for _ in range(r.randrange(1, 9))}) for _ in range(150)]
+    df = spark.createDataFrame([(i, i % 2, s) for i, s in enumerate(sets)], "id long, g int, tt array<string>")
+    got = {(x.id, x.o_id) for x in sharing_pairs(df, df.select(F.col("id").alias("o_id"), "g", "tt"), ["g"], "tt", 0.34).collect()}
+    like = {(i, j) for i in range(150) for j in range(150) if i % 2 == j % 2 and len({*sets[i]} & {*sets[j]}) / len({*sets[i]} | {*sets[j]}) >= 0.34}
+    assert like <= got and len(got) < 0.9 * 2 * 75 * 75
+
+
+def test_middle_cut_query(spark):
+    from siftmark.queries import QUERIES
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in QUERIES["sf29_middle_cut"](spark, SF).collect():
+        raw = (texts[r.doc_id] or "").encode()
+        if len(raw) <= 120:
+            assert r.cut == (texts[r.doc_id] or "")
+            continue
+        head, tail = r.cut.split("…")[0].encode(), r.cut.split("…")[-1].encode()
+        assert raw.startswith(head) and raw.endswith(tail) and 57 <= len(head) <= 60 and 57 <= len(tail) <= 60
 
 
 def test_direct_edges_are_not_promoted(spark):
@@ -177,7 +255,8 @@ def test_sinks(spark, tmp_path):
 def test_read_config(spark, tmp_path):
     for name, text in (("a", '{"cap": 3, "x": 1}'), ("b", 'here: {"cap": 4}'), ("c", "nothing")):
         (tmp_path / f"{name}.json").write_text(text)
+    (tmp_path / "d.json").write_text("# as lines\ncap: 5\nother: x\n")
     from pyspark.sql.types import IntegerType, StructField, StructType
 
     got = {r.file[-6]: (r.cap, r.warning) for r in read_config(spark, str(tmp_path), StructType([StructField("cap", IntegerType())])).collect()}
-    assert got == {"a": (3, "unknown keys: x"), "b": (4, "repaired"), "c": (None, "no configuration found")}
+    assert got == {"a": (3, "unknown keys: x"), "b": (4, "repaired"), "c": (None, "no configuration found"), "d": (5, "read as lines")}
