@@ -437,13 +437,13 @@ def size_bucket(files: Column) -> Column:
 def quality_gate(summary: DataFrame, gates: dict = GATES) -> DataFrame:
     """Add `failures`, the gates that a summary of runs misses (CP12). Too few runs or samples hide what they would measure.
 
-    `summary` has runs, recall_samples, recall, precision_samples, precision, and per size p95_ms_* and p95_nodes_*: null where no run is of that size.
+    Shares are shown with three digits, halves up. `summary` has runs, recall_samples, recall, precision_samples, precision, and per size p95_ms_* and p95_nodes_*: null where no run is of that size.
     """
     c = F.col
     fail = lambda when, name, value, limit, word: F.when(when, F.concat_ws("", F.lit(name + "="), value, F.lit(f" {word} {limit}")))
     share = lambda name, shown: F.coalesce(
         fail(c(f"{name}_samples") < gates[f"{name}_samples"], f"{name}SampleCount", c(f"{name}_samples"), gates[f"{name}_samples"], "below"),
-        fail(c(name) < gates[name], shown, F.format_string("%.3f", c(name)), f"{gates[name]:.3f}", "below"),
+        fail(c(name) < gates[name], shown, F.format_string("%.3f", F.round(c(name), 3)), f"{gates[name]:.3f}", "below"),
     )
     high = [fail(c(f"p95_{of}_{b}") > limit, f"{shown}.{b}", c(f"p95_{of}_{b}"), limit, "above") for of, shown in (("ms", "p95TraversalMs"), ("nodes", "p95VisitedNodes")) for b, limit in gates[of].items()]
     few = fail(c("runs") < gates["runs"], "runCount", c("runs"), gates["runs"], "below")
@@ -460,11 +460,11 @@ _HIGH_SQL = ", ".join(
 )
 
 
-@query("cp12_quality_gate", f"""WITH r AS (SELECT pr_id % 400 AS repo, CASE WHEN pr_id % 400 * 8 <= 300 THEN 'small' WHEN pr_id % 400 * 8 <= 1500 THEN 'medium' ELSE 'large' END AS b, latency_ms % 2300 AS ms, run_id % 3000 AS nodes, CASE WHEN status = 'completed' THEN (run_id % 10) / 10 END AS recall,
-CASE WHEN status <> 'failed' THEN (run_id % 9) / 10 END AS prec FROM runs),
-s AS (SELECT repo, count(*) AS runs, count(recall) AS nr, coalesce(avg(recall), 0) AS recall, count(prec) AS np, coalesce(avg(prec), 0) AS prec, {_P95_SQL} FROM r GROUP BY repo)
-SELECT repo, CASE WHEN runs < 8 THEN 'runCount=' || runs || ' below 8' ELSE array_to_string(list_filter([CASE WHEN nr < 3 THEN 'recallSampleCount=' || nr || ' below 3' WHEN recall < 0.55 THEN 'avgCrossFileRecall=' || printf('%.3f', recall) || ' below 0.550' END,
-CASE WHEN np < 8 THEN 'precisionSampleCount=' || np || ' below 8' WHEN prec < 0.45 THEN 'avgSupportedPrecision=' || printf('%.3f', prec) || ' below 0.450' END, {_HIGH_SQL}], lambda x: x IS NOT NULL), '; ') END AS failures FROM s""")
+@query("cp12_quality_gate", f"""WITH r AS (SELECT pr_id % 400 AS repo, CASE WHEN pr_id % 400 * 8 <= 300 THEN 'small' WHEN pr_id % 400 * 8 <= 1500 THEN 'medium' ELSE 'large' END AS b, latency_ms % 2300 AS ms, run_id % 3000 AS nodes, CASE WHEN status = 'completed' THEN run_id % 10 END AS recall,
+CASE WHEN status <> 'failed' THEN run_id % 9 END AS prec FROM runs),
+s AS (SELECT repo, count(*) AS runs, count(recall) AS nr, coalesce(avg(recall) / 10, 0) AS recall, count(prec) AS np, coalesce(avg(prec) / 10, 0) AS prec, {_P95_SQL} FROM r GROUP BY repo)
+SELECT repo, CASE WHEN runs < 8 THEN 'runCount=' || runs || ' below 8' ELSE array_to_string(list_filter([CASE WHEN nr < 3 THEN 'recallSampleCount=' || nr || ' below 3' WHEN recall < 0.55 THEN 'avgCrossFileRecall=' || printf('%.3f', round(recall, 3)) || ' below 0.550' END,
+CASE WHEN np < 8 THEN 'precisionSampleCount=' || np || ' below 8' WHEN prec < 0.45 THEN 'avgSupportedPrecision=' || printf('%.3f', round(prec, 3)) || ' below 0.450' END, {_HIGH_SQL}], lambda x: x IS NOT NULL), '; ') END AS failures FROM s""")
 def cp12(spark: SparkSession, d: str) -> DataFrame:
     from ..catalog import runs
     from .analytics import nearest_rank
@@ -472,10 +472,10 @@ def cp12(spark: SparkSession, d: str) -> DataFrame:
     # eight times a repository's number stands for its files, so that all three sizes occur
     r = runs(spark, d).select(
         (F.col("pr_id") % 400).alias("repo"), size_bucket(F.col("pr_id") % 400 * 8).alias("b"), (F.col("latency_ms") % 2300).alias("ms"), (F.col("run_id") % 3000).alias("nodes"),
-        F.when(F.col("status") == "completed", F.col("run_id") % 10 / 10).alias("recall"), F.when(F.col("status") != "failed", F.col("run_id") % 9 / 10).alias("precision"),
+        F.when(F.col("status") == "completed", F.col("run_id") % 10).alias("recall"), F.when(F.col("status") != "failed", F.col("run_id") % 9).alias("precision"),
     )
     p95 = [F.coalesce(nearest_rank(f"if(b = '{b}' and {of} > 0, {of}, null)", 95).cast("long"), F.lit(0)).alias(f"p95_{of}_{b}") for of in ("ms", "nodes") for b in ("small", "medium", "large")]
-    shares = [x for name in ("recall", "precision") for x in (F.count(name).alias(f"{name}_samples"), F.coalesce(F.avg(name), F.lit(0.0)).alias(name))]
+    shares = [x for name in ("recall", "precision") for x in (F.count(name).alias(f"{name}_samples"), F.coalesce(F.avg(name) / 10, F.lit(0.0)).alias(name))]
     return quality_gate(r.groupBy("repo").agg(F.count("*").alias("runs"), *shares, *p95)).select("repo", "failures")
 
 
