@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that all executors share.
 
 The folder is the one named by spark.checkpoint.dir. Only where that setting is
-missing (tests, a single machine) a temporary folder of this machine is used.
+missing and Spark runs on one machine (tests), a temporary folder of this machine is used; a cluster without the setting is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-siftmark-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/siftmark-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

@@ -59,6 +59,7 @@ def feistel_shards(df: DataFrame, keys: list[str], shards: int, seed: int = 7) -
 
 
 def op4_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's size, shard and slot under law `rows`; a null text has no bytes. See `feistel_shards`."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     text = F.coalesce("text", F.lit(""))
     sized = documents.select("doc_id", (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))

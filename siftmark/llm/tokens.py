@@ -293,6 +293,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 22) -> Iterator[
 
 
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count and digests of every document's ids, and of the text that they give back; see `prefix_encode`."""
     import public_tokenizers
 
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")

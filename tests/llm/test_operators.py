@@ -1,6 +1,7 @@
 """The ten operators against brute force on a small fixture: nulls, empty and long texts, ties, repeated rows, empty tables, clashing column names."""
 
 import hashlib
+import math
 import random
 import re
 import string
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftmark.llm import chat, components, near, packing, quality, secret_scan, sharding, substrings, tokens, topk
+from siftmark.llm import chat, components, idfiles, near, packing, quality, secret_scan, sharding, substrings, tokens, topk
 from siftmark.llm.components import connected_components
 from siftmark.llm.idfiles import ids_crc32, read_ids, write_ids
 from siftmark.llm.ordering import number_rows
@@ -230,6 +231,34 @@ def test_shards(spark, docs, rows, none):
     assert sharding.feistel_shards(none, ["doc_id"], 4).count() == 0 and sharding.feistel_shards(distinct.limit(1), ["doc_id"], 4).count() == 1
 
 
+def test_op4_query(spark, tmp_path):
+    """The query against a Feistel network in Python over all rows, with the hash taken from Spark."""
+    rows = [(i, None if i == 5 else "é" * (i % 7) + f" text {i % 9}", "en") for i in range(203)]
+    spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in sharding.op4_feistel_sharding(spark, str(tmp_path)).collect()}
+    assert list(got[0].asDict())[:7] == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and len(got) == 203
+    n = 203
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+    known = {}
+    for width in (a, b):
+        pairs = spark.range(width).crossJoin(spark.range(sharding.ROUNDS).toDF("k")).selectExpr("id", "cast(k as int) AS k", "xxhash64(id, cast(k as int), 7L) AS h").collect()
+        known |= {(x.id, x.k): x.h for x in pairs}
+    walk = lambda x: x if x < n else walk(network(x))
+
+    def network(x):
+        l, r = divmod(x, b)
+        for k in range(sharding.ROUNDS):
+            l, r = ((l + known[r, k] % a) % a, r) if k % 2 == 0 else (l, (r + known[l, k] % b) % b)
+        return l * b + r
+
+    for i, text, _ in rows:
+        raw = (text or "").encode()
+        place = walk(network(i))  # ids are the row numbers here
+        r = got[i]
+        assert (r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "rows", place % 40, place // 40, None)
+
+
 def test_number_rows(spark):
     df = spark.createDataFrame([(3, 5), (1, 7), (None, 1), (3, 2)], "k int, w int").repartition(3)
     from pyspark.sql import functions as F
@@ -336,7 +365,7 @@ def test_pairs_of_a_bucket(spark, monkeypatch, blocks):
     monkeypatch.setattr(near, "BLOCK", -(-40 // blocks))
     monkeypatch.setattr(near, "PAIRS", 50)
     r = np.random.RandomState(2)
-    minima = [bytes(r.randint(0, 2, near.SKETCHES, np.uint8).tolist()) for _ in range(40)]
+    minima = [bytes((r.rand(near.MINIMA) < 0.1).astype(np.uint8).tolist()) for _ in range(40)]
     texts = spark.createDataFrame([(i, 100 + i % 3, m) for i, m in enumerate(minima)], "text long, words long, minima binary")
     members = spark.createDataFrame([(b, i) for b in (5, 6) for i in range(40)], "bucket long, text long")
     tied = spark.createDataFrame([(i, i % 7) for i in range(40)], "node long, component long")
@@ -520,6 +549,28 @@ def test_encoders_equal_the_library():
             assert [np.frombuffer(a, np.int32).tolist() for a, _ in tokens.prefix_encoder(path)(some)] == want
 
 
+def test_token_queries(spark, tmp_path, rows):
+    """The three queries' columns and digests, by the library over whole texts."""
+    ids = [(r[0], r[1] or "") for r in rows if r[0] is not None]
+    ids = [(i, t) for i, (_, t) in enumerate(ids)]
+    spark.createDataFrame([(i, t, 1) for i, t in ids], "doc_id long, text string, start int").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    word, byte = tokens.load_tokenizer(WORD), tokens.load_tokenizer(BYTE)
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    plain = {i: word.encode(t, add_special_tokens=False).ids for i, t in ids}
+    got = {r.doc_id: tuple(r)[1:4] for r in tokens.op7_prefix_bpe(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(x), sha(" ".join(map(str, x))), sha(word.decode(x, skip_special_tokens=False))) for i, x in plain.items()}
+    at, want = 0, {}
+    for i, t in ids:
+        x = [*byte.encode(t, add_special_tokens=False).ids, 0]
+        want[i] = (at, len(x), crc(x))
+        at += len(x)
+    assert {r.doc_id: tuple(r)[1:4] for r in idfiles.op9_orc_ids(spark, str(tmp_path)).collect()} == want
+    pieces = {(i, k // 2048, k, len(x[k : k + 2048]), crc(x[k : k + 2048])) for i, v in plain.items() for x in ([*v, 0],) for k in range(0, len(x), 2048)}
+    packed = packing.op10_residual_packing(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed} == pieces and len(packed) == len(pieces)
+    check_bins([(r.sequence_id, r.offset, r.length) for r in packed], 2048)
+
+
 def test_lookup_starts_anew():
     table = tokens.WordTable(lambda ws: [w.upper() for w in ws], entries=3)
     for _ in range(3):
