@@ -1,7 +1,7 @@
 """Graph building and joins on intervals and names (JN6 to JN11, AG15 to AG17, CP6, CP7's set-based form, SF18, SF19).
 
-Interval joins are equi-joins on the file with a range condition, so they shuffle by file. Spans of a
-file are bounded by its length; the nearest one is taken by min_by, which combines before the shuffle.
+Interval joins are equi-joins on the file and a bin of its lines, with a range condition: a span stands in each bin that it
+touches, a point in its own, so a file's points meet the spans nearby only. The nearest one is taken by min, which combines before the shuffle.
 """
 
 from __future__ import annotations
@@ -37,9 +37,18 @@ def reference_name(raw: str) -> Column:
     return F.regexp_replace(last, r"[^A-Za-z0-9_]", "")
 
 
+#: Lines of a bin in interval joins.
+BIN = 64
+
+
+def binned(spans: DataFrame, first: str = "first", last: str = "last") -> DataFrame:
+    """The spans, once for each bin of lines that they touch, with `bin`."""
+    return spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col(first) / BIN), F.floor(F.col(last) / BIN))))
+
+
 def smallest_span(points: DataFrame, spans: DataFrame, on: str, point: str, keys: list[str]) -> DataFrame:
     """For each point the narrowest span of the same group that holds it (JN6); ties go to the smaller symbol, points outside get none."""
-    inside = points.join(spans, on).where(F.col(point).between(F.col("first"), F.col("last")))
+    inside = points.withColumn("bin", F.floor(F.col(point) / BIN)).join(binned(spans), [on, "bin"]).where(F.col(point).between(F.col("first"), F.col("last")))
     owner = F.min(F.struct((F.col("last") - F.col("first")).alias("span"), "symbol")).alias("best")
     return inside.groupBy(*keys).agg(owner).select(*keys, F.col("best.symbol").alias("owner"), F.col("best.span").alias("span"))
 
@@ -56,7 +65,7 @@ def jn7(spark: SparkSession, d: str) -> DataFrame:
     """The narrowest other symbol of a file that holds a symbol's whole range; equal ranges hold each other."""
     s = symbols(spark, d)
     outer = s.select("file", F.col("symbol").alias("parent"), F.col("first").alias("p_first"), F.col("last").alias("p_last"))
-    held = s.join(outer, "file").where((F.col("symbol") != F.col("parent")) & (F.col("p_first") <= F.col("first")) & (F.col("last") <= F.col("p_last")))
+    held = s.withColumn("bin", F.floor(F.col("first") / BIN)).join(binned(outer, "p_first", "p_last"), ["file", "bin"]).where((F.col("symbol") != F.col("parent")) & (F.col("p_first") <= F.col("first")) & (F.col("last") <= F.col("p_last")))
     best = F.min(F.struct((F.col("p_last") - F.col("p_first")).alias("span"), "parent"))
     return held.groupBy("file", "symbol").agg(best.alias("b")).select("file", "symbol", F.col("b.parent").alias("parent"))
 
