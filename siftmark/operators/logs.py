@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import feedback, logs, table, units
 from ..registry import query
+from ..streaming.logs import standing
 from .ranking import top_per
 
 
@@ -179,11 +180,10 @@ def st6(spark: SparkSession, d: str) -> DataFrame:
 @query("st7_rollback", """WITH e AS (SELECT user_id, list({'id': event_id, 'back': event_type = 'error'} ORDER BY event_id) AS l FROM events WHERE event_type IN ('error', 'purchase', 'signup') GROUP BY user_id)
 SELECT user_id, len(s) AS turns, s[-1] AS last_turn FROM (SELECT user_id, list_reduce(list_prepend(CAST([] AS BIGINT[]), list_transform(l, lambda x: CASE WHEN x.back THEN [NULL] ELSE [x.id] END)), lambda a, x: CASE WHEN x[1] IS NULL THEN a[1:-2] ELSE list_concat(a, x) END) AS s FROM e)""")
 def st7(spark: SparkSession, d: str) -> DataFrame:
-    """Positions of user turns, where a rollback takes the last one away: a stack folded over the ordered events."""
-    e = table(spark, d, "events").where(F.col("event_type").isin("error", "purchase", "signup"))
-    ordered = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(F.col("event_id").alias("id"), (F.col("event_type") == "error").alias("back")))).alias("l"))
-    stack = F.expr("aggregate(l, cast(array() as array<bigint>), (s, x) -> if(x.back, slice(s, 1, greatest(size(s) - 1, 0)), array_append(s, x.id)))")
-    return ordered.withColumn("s", stack).select("user_id", F.size("s").cast("long").alias("turns"), F.expr("try_element_at(s, -1)").alias("last_turn"))
+    """How many user turns stand, and the last of them, where a rollback takes the last one away."""
+    e = table(spark, d, "events").where(F.col("event_type").isin("error", "purchase", "signup")).withColumn("step", F.when(F.col("event_type") == "error", -1).otherwise(1))
+    left = standing(e).groupBy("user_id").agg(F.count("*").alias("turns"), F.max_by("first_id", "level").alias("last_turn"))
+    return e.select("user_id").distinct().join(left, "user_id", "left").select("user_id", F.coalesce("turns", F.lit(0)).cast("long").alias("turns"), "last_turn")
 
 
 @query("st9_lifecycle_pairs", """WITH b AS (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS next_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS next_type FROM events WHERE event_type IN ('click', 'purchase'))

@@ -61,21 +61,27 @@ def open_items(events: DataFrame) -> DataFrame:
     return kinds.groupBy("user_id").applyInPandasWithState(run, "user_id long, begin_id long, end_id long", "begin_id long", "append", GroupStateTimeout.NoTimeout)
 
 
-def turns(events: DataFrame) -> DataFrame:
-    """user_id, turn, items, first_id, last_id of a batch of events (ST8): a signup begins a turn, an error takes the last one back.
+def standing(steps: DataFrame) -> DataFrame:
+    """user_id, level (from 1), items, first_id, last_id of the turns that stand after all steps (user_id, event_id, step: 1 begins a turn, -1 takes the
+    last one back, 0 belongs to it).
 
     Turns are a stack, so running sums give each event its level: how many turns are open. A level's events between two
-    beginnings are one turn; it lasts if no error ends it. What is kept of a user is two running numbers, not their events.
+    beginnings are one turn; it stands if nothing ends it. What is kept of a user is two running numbers, not their events.
     """
-    step = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
     at = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = events.select("user_id", "event_id", step.alias("step")).withColumn("sum", F.sum("step").over(at))
-    # an error without a turn takes nothing back
+    summed = steps.select("user_id", "event_id", "step").withColumn("sum", F.sum("step").over(at))
+    # what is taken back without a turn changes nothing
     levels = summed.withColumn("level", F.col("sum") - F.least(F.lit(0), F.min("sum").over(at)))
     undone = (F.col("step") == -1).cast("int")
-    # an error belongs to the level that it ends; at the bottom it may have had nothing to end
+    # a step back belongs to the level that it ends; at the bottom it may have had nothing to end
     own = levels.withColumn("level", F.col("level") + undone).where("level > 0")
     inside = Window.partitionBy("user_id", "level").orderBy("event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = own.withColumn("turn", F.sum(F.when(F.col("step") == 1, 1).otherwise(0)).over(inside)).where("turn > 0")
     kept = numbered.groupBy("user_id", "level", "turn").agg(F.count(F.when(F.col("step") >= 0, 1)).alias("items"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.max(undone).alias("undone")).where("undone = 0")
-    return kept.select("user_id", (F.col("level") - 1).cast("long").alias("turn"), "items", "first_id", "last_id")
+    return kept.select("user_id", "level", "items", "first_id", "last_id")
+
+
+def turns(events: DataFrame) -> DataFrame:
+    """user_id, turn, items, first_id, last_id of a batch of events (ST8): a signup begins a turn, an error takes the last one back."""
+    step = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
+    return standing(events.withColumn("step", step)).select("user_id", (F.col("level") - 1).cast("long").alias("turn"), "items", "first_id", "last_id")
