@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .clustering import OP12_SQL
 from .quality import CLASS_DISTANCE, CLASSES, COMMON, MIN_CHARS, MIN_WORDS, WORD_DISTANCE, WORDS, class_table, whole_shares, with_rest
 from .topk import OP3_SQL
+from .trie import OP13_SQL
 
 _HARD = "<|im_end|><|im_start|>assistant ok"
 
@@ -68,4 +70,4 @@ SELECT doc_id, len(w) AS n_words, length(t) - space AS word_chars, n_symbols, le
   NOT base_failed AND coalesce(cd, 0) <= {CLASS_DISTANCE} AND coalesce(wd, 0) <= {WORD_DISTANCE} AS kept FROM o
 """
 
-ORACLE_SQL = {"op1_chat_round_trip": OP1_SQL, "op2_relative_lempel_ziv": OP2_SQL, "op3_norm_buckets": OP3_SQL, "op8_divergence_rules": OP8_SQL}
+ORACLE_SQL = {"op1_chat_round_trip": OP1_SQL, "op2_relative_lempel_ziv": OP2_SQL, "op3_norm_buckets": OP3_SQL, "op8_divergence_rules": OP8_SQL, "op12_weighted_lloyd": OP12_SQL, "op13_prefix_trie": OP13_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import op1_chat_round_trip
+from .clustering import op12_weighted_lloyd
 from .idfiles import op9_orc_ids
 from .near import op5_order_minhash
 from .oracles import ORACLE_SQL
@@ -13,7 +14,8 @@ from .sharding import op4_feistel_sharding
 from .substrings import op2_relative_lempel_ziv
 from .tokens import op7_prefix_bpe
 from .topk import op3_norm_buckets
+from .trie import op13_prefix_trie
 
-QUERIES = {f.__name__: f for f in (op1_chat_round_trip, op2_relative_lempel_ziv, op3_norm_buckets, op4_feistel_sharding, op5_order_minhash, op6_zstd_novelty, op7_prefix_bpe, op8_divergence_rules, op9_orc_ids, op10_residual_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_round_trip, op2_relative_lempel_ziv, op3_norm_buckets, op4_feistel_sharding, op5_order_minhash, op6_zstd_novelty, op7_prefix_bpe, op8_divergence_rules, op9_orc_ids, op10_residual_packing, op12_weighted_lloyd, op13_prefix_trie)}
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
