@@ -11,7 +11,7 @@ prose or names nearby, and is reported.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -163,21 +163,35 @@ def candidates(text: str) -> Iterator[tuple[int, int, int]]:
             at, near, j = words[j][1], True, j + 1
 
 
+def _disjoint(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int], list[int]]:
+    """Starts and ends of what ordered spans cover together, and the characters covered before each."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends, [0, *accumulate(b - a for a, b in zip(starts, ends, strict=True))]
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], identifiers: str = IDENTIFIERS) -> list[tuple[int, int, int]]:
     """(start, kind, end) of incompressible strings near a sensitive word of which base spans cover less than half.
 
     Two of them that only a sensitive word parts are one: a long key can hold such a word by chance.
     """
     found: list[tuple[int, int, int]] = []
-    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+    starts, ends, before = _disjoint(base)
     last, judge = None, None
+
+    def below(x: int) -> int:
+        """Characters before `x` that base spans cover."""
+        i = bisect_right(starts, x) - 1
+        return before[i] + min(x, ends[i]) - starts[i] if i >= 0 else 0
+
     for a, b, run in candidates(text):
-        covered, at = 0, a
-        if (k := bisect_left(starts, b)) and reach[k - 1] > a:
-            while k and reach[k - 1] > a:
-                k -= 1
-            for x, _, y in base[k : bisect_left(starts, b)]:
-                covered, at = covered + max(0, min(y, b) - max(x, at)), max(at, min(y, b))
+        covered = below(b) - below(a)
         judge = judge or _novelty(identifiers)
         if 2 * covered >= b - a or not judge.is_novel(text, a, b):
             continue

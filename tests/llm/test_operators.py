@@ -473,6 +473,21 @@ def test_scan_is_linear():
     assert time.time() - start < 10
     start = time.time()
     assert secret_scan.novel_spans("token" * 20_000, []) == [] and time.time() - start < 1
+    # a megabyte of base spans under one long assignment
+    text = "token=" + ("secret" + "0" * 16 + "g") * 40_000
+    start = time.time()
+    assert secret_scan.novel_spans(text, secret_scan.base_spans(text)) == [] and time.time() - start < 3
+
+
+def test_half_covered_strings():
+    """Strings near a sensitive word are left to base spans that cover half of them or more, whatever overlaps."""
+    r = random.Random(8)
+    for _ in range(200):
+        spans = sorted((a, r.randrange(3), a + r.randrange(1, 30)) for a in (r.randrange(150) for _ in range(r.randrange(6))))
+        starts, ends, before = secret_scan._disjoint(spans)
+        covered = {x for a, _, b in spans for x in range(a, b)}
+        assert {x for a, b in zip(starts, ends, strict=True) for x in range(a, b)} == covered
+        assert before == [len([x for x in covered if x < a]) for a in starts] + [len(covered)]
 
 
 def test_a_key_that_holds_a_sensitive_word_is_one():
