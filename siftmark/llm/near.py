@@ -7,12 +7,11 @@ follow edit similarity rather than overlap. Texts of up to SHORT words have buck
 leave nothing to chance instead: similar ones share so many two-word k-mers that two
 of their smallest are in common (see `_short_buckets`).
 
-Pairs are tried without a pair for every two texts of a bucket. Texts that follow one another in a bucket come first, each text's
-most frequent one before the rest. Then each text meets the BEST of other classes in each of its buckets whose
-words' minima agree best with its own, again and again with the classes that this gives, until a round adds no link. Minima that agree too seldom rule a pair out (see
-`AGREE`); all others are verified by an alignment of their words within the band that the threshold allows.
-With `exhaustive`, every pair of texts in different classes of a bucket is tried at the end as well: exact for what
-buckets hold, but pairs then grow with the square of a bucket's classes.
+Texts that follow one another in a bucket are tried first. Rounds over an eighth of the buckets each then tie every text to
+the one of another class that it has most words in common with, which joins crowds of copies up at the cost of a pair for each text and bucket, not for every two texts. At last
+every pair of a bucket that is still in different classes is tried, so no link that the buckets hold is lost. What two texts' minima of words
+say about the words that they have in common rules most pairs out where they meet; all others are verified by an alignment of their
+words within the band that the threshold allows.
 """
 
 from __future__ import annotations
@@ -33,13 +32,13 @@ from .wordhash import RangeHashes, Words, mix, pieces
 K, SKETCHES, PER_SKETCH = 3, 64, 2
 #: Most words of a text with exact buckets; those from LONG words on have sketches, so that two texts that are similar have one kind in common.
 SHORT, LONG = 30, 25
-#: Minima (a byte each) of the occurrence-labelled words of a text, and how many have to agree in texts of more than SHORT words. Similar texts have 0.8 of
-#: the longer one's words in common wherever the edits are, so two thirds of all: 85 minima agree on average, and fewer than 70 with 0.002. At similarity 0.6 that many agree with 0.006.
-MINIMA, AGREE = 128, 70
+#: Bins of the occurrence-labelled words of a text, with a byte of each bin's smallest label (0: empty), and how many standard deviations what
+#: they say of the share of words in common may be below the least share of similar texts: with 3.2 one of 1,400 pairs at the threshold is lost.
+BINS, DEVIATIONS = 512, 3.2
 #: Texts of a bucket in a task, and pairs of them that a task holds at a time.
-BLOCK, PAIRS = 8192, 1 << 18
-#: Partners of a text in a round, for each of its buckets.
-BEST = 1
+BLOCK, PAIRS = 8192, 1 << 16
+#: Parts of the buckets; a round takes one of them.
+PARTS = 8
 #: Texts whose sketches a task gives only once.
 SEEN = 500_000
 #: Words of a text from which a chain of seeds is tried before the alignment.
@@ -48,7 +47,6 @@ CHAINED = 2000
 SIMILARITY = 0.8
 
 _SEEDS = np.random.RandomState(5).randint(1, 2**62, (2, SKETCHES), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_WORD_SEEDS = np.random.RandomState(6).randint(1, 2**62, (2, MINIMA), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _labelled(grams: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -63,18 +61,33 @@ def _labelled(grams: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _word_minima(words: Words, of_words: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The `new` texts of more than SHORT words, and a byte of the smallest label of their words: a row per text and a column per hash function."""
+    """The `new` texts, and a byte of each of their bins: a row per text."""
     size = np.diff(words.first)
-    some = np.flatnonzero(new & (size > SHORT))
-    minima = np.empty((len(some), MINIMA), np.uint8)
-    if len(some):
-        runs = size[some]
-        heads = np.cumsum(runs) - runs
-        at = np.arange(runs.sum()) + np.repeat(words.first[some] - heads, runs)
-        labels = _labelled(of_words[at], np.repeat(np.arange(len(some)), runs))
-        for j in range(MINIMA):
-            minima[:, j] = mix(np.minimum.reduceat((labels ^ _WORD_SEEDS[0, j]) * _WORD_SEEDS[1, j], heads)) & np.uint64(255)
-    return some, minima
+    some = np.flatnonzero(new & (size > 0))
+    runs = size[some]
+    at = np.arange(runs.sum()) + np.repeat(words.first[some] - (np.cumsum(runs) - runs), runs)
+    text = np.repeat(np.arange(len(some)), runs)
+    labels = _labelled(of_words[at], text)
+    least = np.full(len(some) * BINS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    np.minimum.at(least, text * BINS + (labels >> np.uint64(55)).astype(np.int64), labels)
+    codes = np.where(least == np.uint64(0xFFFFFFFFFFFFFFFF), 0, mix(least) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    return some, codes.reshape(-1, BINS)
+
+
+def _agree(minima_x: np.ndarray, minima_y: np.ndarray, words_x: np.ndarray, words_y: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The share of words in common of some pairs as their bins tell it, and whether they can be similar by it and by their lengths.
+
+    Similar texts have all but the band's words of the longer one in common. A bin that is filled in either is one draw, without replacement, of the words
+    of both; the error of a share of such draws is that of R (1 - R) (1 / draws - 1 / words).
+    """
+    longer, both = np.maximum(words_x, words_y), words_x + words_y
+    band = ((1 - least) * longer + 1e-9).astype(np.int64)
+    filled = np.maximum(((minima_x | minima_y) > 0).sum(1), 1)
+    share = ((minima_x == minima_y) & (minima_x > 0)).sum(1) / filled
+    common = longer - band
+    wanted = np.clip(common / np.maximum(both - common, 1), 0, 1)  # 1 where lengths alone rule a pair out
+    error = np.sqrt(wanted * (1 - wanted) * np.maximum(1 / filled - 1 / np.maximum(both - common, 1), 0))
+    return share, (2 * longer - both <= band) & (share >= wanted - DEVIATIONS * error - 1.5 / filled)
 
 
 def _sketches(words: Words, hashes: RangeHashes, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,13 +174,13 @@ def sketch_texts(df: DataFrame, text: str, columns: list[str], least: float = SI
                 of = np.concatenate([np.repeat(x, y.shape[1]) for x, y in kinds])
                 bucket = np.concatenate([y.reshape(-1) for _, y in kinds])[np.argsort(of, kind="stable")]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(of, minlength=n))), pa.int32()), pa.array(bucket.view(np.int64)))
-                agree: list[bytes | None] = [None] * n
+                minima: list[bytes | None] = [None] * n
                 for i, x in zip(*_word_minima(words, of_words, new), strict=True):
-                    agree[i] = x.tobytes()
+                    minima[i] = x.tobytes()
                 packed = [compress(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 own = batch.slice(at, n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + n)), own.column("own"), pa.array(same.view(np.int64)), pa.array(np.diff(words.first), pa.int64()), pa.array(packed, pa.binary()), pa.array(agree, pa.binary()), lists],
+                    [pa.array(np.arange(row, row + n)), own.column("own"), pa.array(same.view(np.int64)), pa.array(np.diff(words.first), pa.int64()), pa.array(packed, pa.binary()), pa.array(minima, pa.binary()), lists],
                     ["row", "own", "_same", "words", "packed", "minima", "sketches"],
                 )
                 row += n
@@ -246,35 +259,34 @@ def _across(classes: np.ndarray, two: bool, left: int) -> Iterator[tuple[np.ndar
             at = to
 
 
-def _top(one: np.ndarray, other: np.ndarray, agree: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the pairs of each `one`, the BEST with the most in common; ties go to the smaller text."""
-    order = np.lexsort((text[other], -agree, one))
-    one, other, agree = one[order], other[order], agree[order]
-    head = np.flatnonzero(np.append(True, one[1:] != one[:-1])) if len(one) else np.zeros(0, np.int64)
-    rank = np.arange(len(one)) - np.repeat(head, np.diff(np.append(head, len(one))))
-    return one[rank < BEST], other[rank < BEST], agree[rank < BEST]
+def _minima(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x if x is not None else bytes(BINS) for x in column.to_pylist()), np.uint8).reshape(-1, BINS)
+
+
+def _top(one: np.ndarray, other: np.ndarray, share: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of each `one`, that with the most in common; ties go to the smaller text."""
+    order = np.lexsort((text[other], -share, one))
+    one, other, share = one[order], other[order], share[order]
+    head = np.append(True, one[1:] != one[:-1])[: len(one)]
+    return one[head], other[head], share[head]
 
 
 def _met(apart: DataFrame, least: float, best: bool) -> DataFrame:
     """Pairs (a, b) of texts of a bucket in different classes that can be similar by their lengths and minima: all, or with `best` only each
-    text's BEST of each bucket. A task holds one cell and PAIRS pairs at a time; only what is left of them goes out."""
+    text's best of each bucket. A task holds one cell and PAIRS pairs at a time; only what is left of them goes out."""
 
     def pairs(classes: np.ndarray, side: np.ndarray, text: np.ndarray, words: np.ndarray, minima: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((text, classes, side))
         classes, side, text, words, minima = (x[order] for x in (classes, side, text, words, minima))
         left = int(np.searchsorted(side, side[0], "right"))
-        found = [(np.zeros(0, np.int64),) * 3]
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for x, y in _across(classes, left < len(text), left):
-            more, less = np.maximum(words[x], words[y]), np.minimum(words[x], words[y])
-            fit = more - less <= ((1 - least) * more + 1e-9).astype(np.int64)
-            x, y, less = x[fit], y[fit], less[fit]
-            agree = (minima[x] == minima[y]).sum(1)
-            agree = np.where(less > SHORT, agree, MINIMA)  # shorter ones are always verified
-            x, y, agree = (v[agree >= AGREE] for v in (x, y, agree))
+            share, fit = _agree(minima[x], minima[y], words[x], words[y], least)
+            x, y, share = x[fit], y[fit], share[fit]
             if best:
-                found[0] = _top(*(np.concatenate(v) for v in ((found[0][0], x, y), (found[0][1], y, x), (found[0][2], agree, agree))), text)
+                found[0] = _top(*(np.concatenate(v) for v in ((found[0][0], x, y), (found[0][1], y, x), (found[0][2], share, share))), text)
             else:
-                found.append((x, y, agree))
+                found.append((x, y, share))
         x, y, _ = (np.concatenate(v) for v in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(text[x], text[y])), pa.array(np.maximum(text[x], text[y]))], ["a", "b"])
 
@@ -287,8 +299,7 @@ def _met(apart: DataFrame, least: float, best: bool) -> DataFrame:
             edge = np.append(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1, table.num_rows)
             edge = np.append(0, edge if last else edge[:-1])
             columns = [table.column(c).to_numpy() for c in ("class", "side", "text", "words")]
-            given = [x if x is not None else bytes(MINIMA) for x in table.column("minima").to_pylist()]
-            minima = np.frombuffer(b"".join(given), np.uint8).reshape(-1, MINIMA)
+            minima = _minima(table.column("minima"))
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 yield pairs(*(x[a:b] for x in columns), minima[a:b])
             waiting[:] = [table.slice(edge[-1])] if edge[-1] < table.num_rows else []
@@ -310,15 +321,13 @@ def _possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(v if v is not None else bytes(MINIMA) for v in batch.column(c).to_pylist()), np.uint8).reshape(-1, MINIMA) for c in ("x", "y"))
-            agree = (x == y).sum(1) >= AGREE
-            yield batch.select(["a", "b"]).filter(pa.array(agree | (batch.column("less").to_numpy() <= SHORT)))
+            if batch.num_rows:
+                _, fit = _agree(_minima(batch.column("x")), _minima(batch.column("y")), batch.column("x_words").to_numpy(), batch.column("y_words").to_numpy(), least)
+                yield batch.select(["a", "b"]).filter(pa.array(fit))
 
     for end, own in (("a", "x"), ("b", "y")):
         pairs = pairs.join(texts.select(F.col("text").alias(end), F.col("minima").alias(own), F.col("words").alias(f"{own}_words")), end)
-    more, less = F.greatest("x_words", "y_words"), F.least("x_words", "y_words")
-    fit = pairs.where(more - less <= F.floor((1 - least) * more + 1e-9)).select("a", "b", "x", "y", less.alias("less"))
-    return fit.mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "x", "y", "x_words", "y_words").mapInArrow(run, "a long, b long")
 
 
 def _chain_distance(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -402,16 +411,23 @@ def _banded_distance(a: np.ndarray, b: np.ndarray, band: int) -> int:
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     """Whether 1 - edit distance / length of the longer is at least `least`.
 
-    Bounds decide most pairs: the words in common from above, a chain of seeds from below. The rest is aligned in the band.
+    Bounds decide most pairs: the words in common, anywhere and within the band, from above, a chain of seeds from below. The rest is aligned in the band.
     """
     longer = max(len(a), len(b))
     band = _band(longer, least)
     if longer - min(len(a), len(b)) > band:
         return False
-    values, count = np.unique(np.concatenate([a, b]), return_counts=True)
-    in_a = np.bincount(np.searchsorted(values, a), minlength=len(values))
+    values, number, count = np.unique(np.concatenate([a, b]), return_inverse=True, return_counts=True)
+    in_a = np.bincount(number[: len(a)], minlength=len(values))
     if longer - int(np.minimum(in_a, count - in_a).sum()) > band:
         return False
+    # words by number and place, with room between numbers: blocks in another order have few within the band
+    room = longer + 2 * band + 2
+    places = np.sort(number[len(a) :] * room + np.arange(len(b)) + band)
+    wanted = number[: len(a)] * room + np.arange(len(a))
+    next_ = places[np.minimum(np.searchsorted(places, wanted), len(places) - 1)] if len(places) else wanted - 1
+    if longer - int(((next_ >= wanted) & (next_ <= wanted + 2 * band)).sum()) > band:
+        return False
     return longer > CHAINED and _chain_distance(a, b, band) <= band or _banded_distance(a, b, band) <= band
 
 
@@ -436,7 +452,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _classes(df: DataFrame, text: str, columns: tuple[str, ...], id: str, least: float, exhaustive: bool = False) -> DataFrame:
+def _classes(df: DataFrame, text: str, columns: tuple[str, ...], id: str, least: float) -> DataFrame:
     """row, own, class_id, class_row, class_texts of every row; see `near_duplicates`."""
     rows = materialize(sketch_texts(df, text, list(dict.fromkeys([*columns, id])), least), "sketched")
     texts = rows.groupBy(F.col("_same").alias("text")).agg(F.min("row").alias("row"), F.min("words").alias("words"), F.max("minima").alias("minima"), F.min(F.struct(F.col("own")[id].alias("id"), F.col("row").alias("row"))).alias("lead"))
@@ -448,40 +464,41 @@ def _classes(df: DataFrame, text: str, columns: tuple[str, ...], id: str, least:
     best = materialize(_possible(pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("x")).select("x.a", "b"), texts, least), "best")
     found = materialize(_verified(best, candidates, least), "links")
     tied = materialize(connected_components(found), "tied")
-    tried, used, last = [best], [pairs], False
-    # each text meets the best of its buckets until that adds no link; then, if asked for, all texts that are still apart meet
-    while True:
-        apart = _apart(members, texts, tied)
-        new = _met(apart, least, not last)
-        for table in tried:
-            new = new.join(table.select("a", "b"), ["a", "b"], "left_anti")
-        new = materialize(new, "untried")
+    used: list[DataFrame] = [pairs, best]
+
+    def tie(buckets: DataFrame, best: bool) -> bool:
+        """Tie up what the buckets hold; whether that added a link."""
+        nonlocal tied
+        apart = _apart(buckets, texts, tied)
+        new = materialize(_met(apart, least, best), "met")
         added = materialize(_verified(new, candidates, least), "added")
-        used += [apart, added, tied]
-        tried.append(new)
-        none = added.isEmpty()
-        if not none:
-            tied = materialize(connected_components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(added)), "tied")
-        if last or none and not exhaustive:
+        used.extend([apart, new, added, tied])
+        if added.isEmpty():
+            return False
+        tied = materialize(connected_components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(added)), "tied")
+        return True
+
+    for part in range(PARTS):
+        if not tie(members.where(F.pmod("bucket", F.lit(PARTS)) == part), best=True):
             break
-        last = none
+    tie(members, best=False)
     named = materialize(texts.join(tied.withColumnRenamed("node", "text"), "text", "left").withColumn("component", F.coalesce("component", "text")), "named")
     classes = named.groupBy("component").agg(F.min("lead").alias("lead"), F.count("*").alias("class_texts"))
     # classes and the texts' leads are written before they are joined: a join right behind a shuffle can split a hot class
     classes = materialize(classes, "classes")
     of_text = materialize(named.select(F.col("text").alias("_same"), "component").join(classes, "component").drop("component"), "leads")
-    discard(texts, members, candidates, found, tied, *tried, *used, named, classes)
+    discard(texts, members, candidates, found, tied, *used, named, classes)
     return rows.select("row", "own", "_same").join(of_text, "_same").select("row", "own", F.col("lead.id").alias("class_id"), F.col("lead.row").alias("class_row"), "class_texts")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", columns: tuple[str, ...] = ("doc_id",), id: str = "doc_id", least: float = SIMILARITY, exhaustive: bool = False) -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", columns: tuple[str, ...] = ("doc_id",), id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
     """Every row's `columns` with class_id (the smallest `id` of its class) and class_texts (the class's different texts).
 
     Texts with equal words are in one class, also null, empty and blank ones, which have none. Null ids come first. An empty table gives no rows. Other columns of `df` are dropped, and the
-    new names replace columns of the same name. `exhaustive` tries every pair that buckets hold (see above).
+    new names replace columns of the same name.
     """
     kept = [c for c in columns if c not in ("class_id", "class_texts")]
-    return _classes(df, text, tuple(kept), id, least, exhaustive).select(*(F.col("own")[c].alias(c) for c in kept), "class_id", "class_texts")
+    return _classes(df, text, tuple(kept), id, least).select(*(F.col("own")[c].alias(c) for c in kept), "class_id", "class_texts")
 
 
 def drop_near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:

@@ -365,7 +365,7 @@ def test_pairs_of_a_bucket(spark, monkeypatch, blocks):
     monkeypatch.setattr(near, "BLOCK", -(-40 // blocks))
     monkeypatch.setattr(near, "PAIRS", 50)
     r = np.random.RandomState(2)
-    minima = [bytes((r.rand(near.MINIMA) < 0.1).astype(np.uint8).tolist()) for _ in range(40)]
+    minima = [bytes(((r.rand(near.BINS) < 0.1) + 1).astype(np.uint8).tolist()) for _ in range(40)]
     texts = spark.createDataFrame([(i, 100 + i % 3, m) for i, m in enumerate(minima)], "text long, words long, minima binary")
     members = spark.createDataFrame([(b, i) for b in (5, 6) for i in range(40)], "bucket long, text long")
     tied = spark.createDataFrame([(i, i % 7) for i in range(40)], "node long, component long")
@@ -380,6 +380,65 @@ def test_pairs_of_a_bucket(spark, monkeypatch, blocks):
     assert best <= got and {x for p in best for x in p} == set(range(40))
 
 
+def test_near_duplicates_among_reordered_templates(spark):
+    """Texts that put the same blocks in another order are no copies, but share their words; a copy of one of them with 12 % of its words replaced is found all the same."""
+    r = random.Random(21)
+    blocks = [[f"w{b}_{i}" for i in range(20)] for b in range(12)]
+    rows = []
+    for i in range(60):
+        words = [w for b in r.sample(blocks, 12) for w in b]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(substituted(r, words, r.sample(range(240), 28))))]
+    got = {x.doc_id: x.class_id for x in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(60))
+
+
+def test_near_duplicates_in_a_crowd(spark):
+    """Copies of copies with many words in common: every class that a comparison of all pairs gives, but for one pair in fifty."""
+    r = random.Random(22)
+    base = [f"v{r.randrange(300)}" for _ in range(120)]
+    texts = [base]
+    for _ in range(179):
+        texts.append(substituted(r, r.choice(texts), r.sample(range(120), r.randrange(8, 40))))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {x.doc_id: x.class_id for x in near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    ids = {w: i + 1 for i, w in enumerate({w for t in texts for w in t})}
+    arrays = [np.array([ids[w] for w in t], np.uint64) * np.uint64(0x9E3779B97F4A7C15) for t in texts]
+    alike = [(i, j) for i in range(len(texts)) for j in range(i) if near.similar(arrays[i], arrays[j])]
+    assert len(alike) > 100
+    assert sum(got[i] == got[j] for i, j in alike) >= 0.98 * len(alike)
+    parts = {}
+    for i, c in got.items():
+        parts.setdefault(c, []).append(i)
+    linked = {frozenset(p) for p in alike}
+    for own in parts.values():  # nothing else is put together
+        seen, open_ = {own[0]}, [own[0]]
+        while open_:
+            x = open_.pop()
+            more = {y for y in own if y not in seen and frozenset((x, y)) in linked}
+            seen |= more
+            open_ += more
+        assert seen == set(own)
+
+
+@pytest.mark.parametrize("words", [12, 60, 400, 3000])
+def test_bins_keep_pairs_at_the_threshold(words):
+    """Of pairs with the least words in common that similar ones can have, the bins rule one in a hundred out at most; of those at similarity 0.6 they rule most out."""
+    r = np.random.RandomState(words)
+    kept = {0.2: 0, 0.4: 0}
+    for edits in kept:
+        pairs = [r.randint(1, 2**62, (1, words)).astype(np.uint64) for _ in range(100)]
+        for a in pairs:
+            b = a.copy()
+            b[0, r.choice(words, int(words * edits), replace=False)] = r.randint(1, 2**62, int(words * edits))
+            codes = []
+            for x in (a[0], b[0]):
+                w = type("W", (), {"first": np.array([0, words])})()
+                codes.append(near._word_minima(w, x, np.array([True]))[1])
+            _, fit = near._agree(*codes, np.array([words]), np.array([words]), 0.8)
+            kept[edits] += int(fit[0])
+    assert kept[0.2] >= 99 and kept[0.4] <= 40
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
