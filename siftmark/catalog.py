@@ -9,11 +9,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Edge types of the code graph.
+# Edge types of the code graph that a traversal follows.
 EDGE_TYPES = ["file_dep", "file_dep_inferred", "references_symbol", "contains_symbol", "class_contains_symbol", "symbol_contains_symbol", "symbol_imports_file", "exports_symbol", "dir_contains_file", "dir_contains_dir", "module_contains", "module_dep"]
 NODE_TYPES = ["file", "symbol", "file", "directory", "module"]
 CATEGORIES = ["security", "bug", "performance", "testing", "maintainability", "style"]
 
+
+
+def _source_path(c: str) -> str:
+    """SQL of the path of source file number `c`, in DuckDB and Spark alike."""
+    end = f"CASE {c} % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' WHEN 2 THEN '/index.ts' ELSE '.py' END"
+    return f"CASE WHEN {c} % 40 = 0 THEN concat('f', {c}, '.ts') ELSE concat('m', {c} % 7, '/p', {c} % 3, '/f', {c}, {end}) END"
+
+
+_TARGET = "(l_suppkey * 15 + l_linenumber % 2 * 5 + o_custkey % 5)"
+_STEM = f"concat('m', {_TARGET} % 7, '/p', {_TARGET} % 3, '/f', {_TARGET})"
+_NEAR = f"concat('p', {_TARGET} % 3, '/f', {_TARGET})"
+#: What a source file imports, in the ways of its language.
+_SPEC = f"""CASE WHEN o_custkey % 4 = 3 THEN CASE l_partkey % 4 WHEN 0 THEN replace({_STEM}, '/', '.') WHEN 1 THEN concat('..', replace({_NEAR}, '/', '.')) WHEN 2 THEN concat('.f', {_TARGET}) ELSE concat('pkg', {_TARGET} % 20, '.sub') END
+        ELSE CASE l_partkey % 9 WHEN 0 THEN {_STEM} WHEN 1 THEN concat('@/', {_STEM}, '.js') WHEN 2 THEN concat('../', {_NEAR}) WHEN 3 THEN concat('./f', {_TARGET}) WHEN 4 THEN concat('@scope', {_TARGET} % 5, '/pkg/deep')
+        WHEN 5 THEN concat('lib', {_TARGET} % 20, '/x?raw') WHEN 6 THEN 'node:fs' WHEN 7 THEN concat('../../', {_STEM}, '.tsx') ELSE concat('~/', {_STEM}, '/index.ts') END END"""
+_KIND = "CASE o_orderpriority WHEN '1-URGENT' THEN 'class_declaration' WHEN '2-HIGH' THEN 'interface_declaration' ELSE 'function_declaration' END"
+_NAME = "CASE l_returnflag WHEN 'R' THEN {spec} WHEN 'A' THEN concat('mod::s', {own}) ELSE concat('app.s', {other}, '()') END"
+
 #: The tables' schemas are fixed; nothing is inferred from file contents beyond Parquet's own.
 VIEWS = {
     "units": """SELECT doc_id AS id, source || '/' || lang || '/f' || (doc_id % 3) || '.txt' AS path, source || '/' || lang AS dir,
@@ -37,6 +55,11 @@ VIEWS = {
         CAST(strlen(props) + strlen(event_type) + 8 AS BIGINT) AS bytes FROM events""",
     "graph_edges": f"""SELECT l_orderkey % 7 AS repo, l_suppkey AS from_id, l_partkey % 300 AS to_id, {EDGE_TYPES}[(l_partkey + l_linenumber) % 12 + 1] AS type, count(*) AS weight
         FROM lineitem WHERE l_suppkey <> l_partkey % 300 GROUP BY ALL""",
+    "code_files": f"SELECT c_custkey % 5 AS repo, c_custkey AS file, {_source_path('c_custkey')} AS path FROM customer",
+    "code_symbols": f"""SELECT o_custkey % 5 AS repo, {_source_path('o_custkey')} AS path, o_orderkey AS symbol, concat('s', o_orderkey // 8) AS name, {_KIND} AS kind, o_orderkey % 200 + 1 AS first,
+        o_orderkey % 200 + 1 + CAST(floor(o_totalprice / 10000) AS BIGINT) AS last FROM orders""",
+    "code_refs": f"""SELECT o_custkey % 5 AS repo, {_source_path('o_custkey')} AS path, l_orderkey * 10 + l_linenumber AS ref, CASE l_returnflag WHEN 'R' THEN 'import' WHEN 'A' THEN 'export' ELSE 'identifier' END AS kind,
+        {_NAME.format(spec=_SPEC, own='(l_orderkey // 8)', other='((l_orderkey + l_partkey % 96) // 8)')} AS name, o_orderkey % 200 + l_linenumber * 3 AS line FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "deps": """SELECT l_suppkey AS from_id, l_partkey % 100 AS to_id, CASE WHEN l_returnflag = 'R' THEN 'file_dep' ELSE 'references_symbol' END AS type,
         l_orderkey || ':' || l_linenumber AS example, l_orderkey * 10 + l_linenumber AS pos FROM lineitem""",
 }
@@ -144,3 +167,35 @@ def deps(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws(":", "l_orderkey", "l_linenumber").alias("example"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
     )
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files of repositories: repo, file, path."""
+    return table(spark, sf_dir, "customer").select(F.expr("c_custkey % 5").alias("repo"), F.col("c_custkey").alias("file"), F.expr(_source_path("c_custkey")).alias("path"))
+
+
+def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of source files with their kind and lines: repo, path, symbol, name, kind, first, last."""
+    first = F.col("o_orderkey") % 200 + 1
+    return table(spark, sf_dir, "orders").select(
+        F.expr("o_custkey % 5").alias("repo"),
+        F.expr(_source_path("o_custkey")).alias("path"),
+        F.col("o_orderkey").alias("symbol"),
+        F.expr("concat('s', o_orderkey div 8)").alias("name"),
+        F.expr(_KIND).alias("kind"),
+        first.alias("first"),
+        (first + F.floor(F.col("o_totalprice") / 10000).cast("long")).alias("last"),
+    )
+
+
+def code_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports, exports and names used in source files: repo, path, ref, kind, name, line."""
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderkey", "o_custkey"), "l_orderkey")
+    return rows.select(
+        F.expr("o_custkey % 5").alias("repo"),
+        F.expr(_source_path("o_custkey")).alias("path"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ref"),
+        F.expr("CASE l_returnflag WHEN 'R' THEN 'import' WHEN 'A' THEN 'export' ELSE 'identifier' END").alias("kind"),
+        F.expr(_NAME.format(spec=_SPEC, own="(l_orderkey div 8)", other="((l_orderkey + l_partkey % 96) div 8)")).alias("name"),
+        (F.col("o_orderkey") % 200 + F.col("l_linenumber") * 3).alias("line"),
+    )

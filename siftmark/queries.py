@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .operators import analytics, context, graph, logs, procedures, retrieval, review, scalars, streams  # noqa: F401
+from .operators import analytics, codegraph, context, graph, logs, procedures, retrieval, review, scalars, streams  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
