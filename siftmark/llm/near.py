@@ -8,7 +8,7 @@ leave nothing to chance instead: similar ones share so many two-word k-mers that
 of their smallest are in common (see `_short_buckets`).
 
 Texts that follow one another in a bucket are tried first. Rounds over an eighth of the buckets each then tie every text to
-the one of another class that it has most words in common with, which joins crowds of copies up at the cost of a pair for each text and bucket, not for every two texts. At last
+the one of another class that it has most words in common with, as long as that adds more than a few links, which joins crowds of copies up at the cost of a pair for each text and bucket, not for every two texts. At last
 every pair of a bucket that is still in different classes is tried, so no link that the buckets hold is lost. What two texts' minima of words
 say about the words that they have in common rules most pairs out where they meet; all others are verified by an alignment of their
 words within the band that the threshold allows.
@@ -34,11 +34,13 @@ K, SKETCHES, PER_SKETCH = 3, 64, 2
 SHORT, LONG = 30, 25
 #: Bins of the occurrence-labelled words of a text, with a byte of each bin's smallest label (0: empty), and how many standard deviations what
 #: they say of the share of words in common may be below the least share of similar texts: with 3.2 one of 1,400 pairs at the threshold is lost.
-BINS, DEVIATIONS = 512, 3.2
+BINS, DEVIATIONS = 256, 3.2
 #: Texts of a bucket in a task, and pairs of them that a task holds at a time.
 BLOCK, PAIRS = 8192, 1 << 16
-#: Parts of the buckets; a round takes one of them.
-PARTS = 8
+#: Parts of the buckets, of which a round takes one, and the share of new links below which rounds end.
+PARTS, WORTH = 8, 0.01
+#: Most pairs that are sent to the texts instead of the other way round.
+FEW = 100_000
 #: Texts whose sketches a task gives only once.
 SEEN = 500_000
 #: Words of a text from which a chain of seeds is tried before the alignment.
@@ -69,7 +71,7 @@ def _word_minima(words: Words, of_words: np.ndarray, new: np.ndarray) -> tuple[n
     text = np.repeat(np.arange(len(some)), runs)
     labels = _labelled(of_words[at], text)
     least = np.full(len(some) * BINS, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    np.minimum.at(least, text * BINS + (labels >> np.uint64(55)).astype(np.int64), labels)
+    np.minimum.at(least, text * BINS + (labels >> np.uint64(56)).astype(np.int64), labels)
     codes = np.where(least == np.uint64(0xFFFFFFFFFFFFFFFF), 0, mix(least) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
     return some, codes.reshape(-1, BINS)
 
@@ -447,8 +449,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             kept = [similar(hashes(x.as_py()), hashes(y.as_py()), least) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    with_a = pairs.join(texts.select(F.col("text").alias("a"), F.col("packed").alias("x")), "a")
-    both = with_a.join(texts.select(F.col("text").alias("b"), F.col("packed").alias("y")), "b")
+    if pairs.count() <= FEW:
+        # few pairs are broadcast, so that no other texts are shuffled
+        with_a = texts.select(F.col("text").alias("a"), F.col("packed").alias("x")).join(F.broadcast(pairs.select("a", "b")), "a")
+        others = texts.select(F.col("text").alias("b"), F.col("packed").alias("y")).join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        both = with_a.join(others, "b")
+    else:
+        with_a = pairs.join(texts.select(F.col("text").alias("a"), F.col("packed").alias("x")), "a")
+        both = with_a.join(texts.select(F.col("text").alias("b"), F.col("packed").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
@@ -458,28 +466,32 @@ def _classes(df: DataFrame, text: str, columns: tuple[str, ...], id: str, least:
     texts = rows.groupBy(F.col("_same").alias("text")).agg(F.min("row").alias("row"), F.min("words").alias("words"), F.max("minima").alias("minima"), F.min(F.struct(F.col("own")[id].alias("id"), F.col("row").alias("row"))).alias("lead"))
     texts = materialize(texts, "texts")
     pairs, members = _neighbours(rows.select(F.col("_same").alias("text"), F.explode("sketches").alias("bucket")))
-    wanted = texts.select("text", "row").join(members.select("text").distinct(), "text")
+    met = members.select("text").distinct()
+    sketches = materialize(texts.select("text", "words", "minima").join(met, "text"), "minima")
     # neither side has a bound that would allow a broadcast
-    candidates = materialize(rows.select("row", "packed").hint("merge").join(wanted, "row").select("text", "packed"), "candidates")
-    best = materialize(_possible(pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("x")).select("x.a", "b"), texts, least), "best")
+    candidates = materialize(rows.select("row", "packed").hint("merge").join(texts.select("text", "row").join(met, "text"), "row").select("text", "packed"), "candidates")
+    best = materialize(_possible(pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("x")).select("x.a", "b"), sketches, least), "best")
     found = materialize(_verified(best, candidates, least), "links")
     tied = materialize(connected_components(found), "tied")
-    used: list[DataFrame] = [pairs, best]
+    links = found.count()
+    discard(pairs, best, found)
 
-    def tie(buckets: DataFrame, best: bool) -> bool:
-        """Tie up what the buckets hold; whether that added a link."""
+    def tie(buckets: DataFrame, best: bool) -> int:
+        """Tie up what the buckets hold; how many links that added."""
         nonlocal tied
-        apart = _apart(buckets, texts, tied)
+        apart = _apart(buckets, sketches, tied)
         new = materialize(_met(apart, least, best), "met")
         added = materialize(_verified(new, candidates, least), "added")
-        used.extend([apart, new, added, tied])
-        if added.isEmpty():
-            return False
-        tied = materialize(connected_components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(added)), "tied")
-        return True
+        if n := added.count():
+            before, tied = tied, materialize(connected_components(tied.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(added)), "tied")
+            discard(before)
+        discard(apart, new, added)
+        return n
 
     for part in range(PARTS):
-        if not tie(members.where(F.pmod("bucket", F.lit(PARTS)) == part), best=True):
+        more = tie(members.where(F.pmod("bucket", F.lit(PARTS)) == part), best=True)
+        links += more
+        if more <= WORTH * links:
             break
     tie(members, best=False)
     named = materialize(texts.join(tied.withColumnRenamed("node", "text"), "text", "left").withColumn("component", F.coalesce("component", "text")), "named")
@@ -487,7 +499,7 @@ def _classes(df: DataFrame, text: str, columns: tuple[str, ...], id: str, least:
     # classes and the texts' leads are written before they are joined: a join right behind a shuffle can split a hot class
     classes = materialize(classes, "classes")
     of_text = materialize(named.select(F.col("text").alias("_same"), "component").join(classes, "component").drop("component"), "leads")
-    discard(texts, members, candidates, found, tied, *used, named, classes)
+    discard(texts, members, sketches, candidates, tied, named, classes)
     return rows.select("row", "own", "_same").join(of_text, "_same").select("row", "own", F.col("lead.id").alias("class_id"), F.col("lead.row").alias("class_row"), "class_texts")
 
 
