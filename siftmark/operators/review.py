@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -274,20 +276,63 @@ def jn13(spark: SparkSession, d: str) -> DataFrame:
     return new.join(base, (F.col("n.key") == F.col("b.key")) & (F.abs(F.col("n.line") - F.col("b.line")) <= 8), "left_anti").select("id")
 
 
+def kept_in_order(new: DataFrame, base: DataFrame, apart: int = 8) -> DataFrame:
+    """Rows of `new` (key, line, ordinal and others) that no row of `base`, and none of `new` that was kept before them, stands within `apart` lines of under the same key (JN13).
+
+    Of rows with one key and line only the first by ordinal can stay. Lines more than `apart` away from their neighbours can't meet, so runs of near lines are decided one by
+    one: a run holds as many rows as it has lines, however many rows a key has. A null key or line never stays.
+    """
+    bin_ = lambda c, by=0: (F.floor(F.col(c) / (apart + 1)) + by).alias("_bin")
+    first = new.where("key is not null and line is not null").groupBy("key", "line").agg(F.min("ordinal").alias("ordinal"))
+    taken = base.select("key", F.col("line").alias("_line"), F.explode(F.array(*(bin_("line", i) for i in (-1, 0, 1)))).alias("_bin")).distinct()
+    free = first.withColumn("_bin", bin_("line")).join(taken, ["key", "_bin"], "left").groupBy("key", "line", "ordinal").agg(F.coalesce(F.min(F.abs(F.col("line") - F.col("_line"))) <= apart, F.lit(False)).alias("_near")).where("not _near")
+    by_line = Window.partitionBy("key").orderBy("line")
+    gap = (F.col("line") - F.lag("line").over(by_line) > apart).cast("int")
+    runs = free.withColumn("_gap", F.coalesce(gap, F.lit(0))).withColumn("_run", F.sum("_gap").over(by_line))
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        lines: list[int] = []
+        kept = []
+        for row in own.sort_values("ordinal").itertuples():
+            i = bisect_left(lines, row.line)
+            if all(abs(lines[j] - row.line) > apart for j in (i - 1, i) if 0 <= j < len(lines)):
+                lines.insert(i, row.line)
+                kept.append(row.ordinal)
+        return own.loc[own["ordinal"].isin(kept), ["key", "line", "ordinal"]]
+
+    stay = runs.groupBy("key", "_run").applyInPandas(run, first.schema)
+    return new.join(stay, ["key", "line", "ordinal"], "left_semi")
+
+
+@query("jn13_kept_in_order", f"""WITH RECURSIVE c AS ({_COMMENTS_SQL}), k AS (SELECT id, line, path || '|' || category || '|' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS key FROM c),
+f AS (SELECT * FROM k a WHERE id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM k b WHERE b.id % 2 = 0 AND a.key = b.key AND abs(a.line - b.line) <= 8)),
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS n FROM f),
+x AS (SELECT key, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept, false AS stays, CAST(NULL AS BIGINT) AS id FROM (SELECT DISTINCT key FROM n)
+UNION ALL SELECT x.key, n.n, CASE WHEN len(list_filter(kept, lambda l: abs(l - n.line) <= 8)) = 0 THEN list_append(kept, CAST(n.line AS BIGINT)) ELSE kept END, len(list_filter(kept, lambda l: abs(l - n.line) <= 8)) = 0, CAST(n.id AS BIGINT) FROM x JOIN n ON n.key = x.key AND n.n = x.n + 1)
+SELECT id FROM x WHERE stays""")
+def jn13_kept(spark: SparkSession, d: str) -> DataFrame:
+    """New comments in input order, without those near a base comment or one that was kept before."""
+    c = comments(spark, d)
+    keyed = c.select("id", F.col("id").alias("ordinal"), "line", T.semantic_key(F.col("path"), F.col("category"), F.col("title")).alias("key"))
+    return kept_in_order(keyed.where("id % 2 = 1"), keyed.where("id % 2 = 0")).select("id")
+
+
 def match_in_order(new: DataFrame, old: DataFrame) -> DataFrame:
     """id, matched and step of each new finding of a request (JN12), in input order: an exact key (1), the nearest line of the same hunk and
     category (2), the most alike by title, body, line, side and severity (3, as SF6), the nearest line of the same title (4).
 
     Each old finding is consumed by one new one, but an exact key doesn't ask whether it was. All four steps stay within a path, so a
-    request's path is a group; in it every step looks old findings up by its own key. Columns: request, path, id, ordinal, line,
-    hunk, category, key, title_key, side, severity, tt and bt (tokens of title and body).
+    request's path is a group; in it every step looks old findings up by its own key. Of old findings with one key the first that is open counts, or the last if none is. Columns: request, path, id, ordinal, line,
+    hunk, category, key, title_key, side, severity, tt and bt (tokens of title and body), and of old ones status (open without it).
     """
 
     def run(key: tuple, fresh: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        exact: dict[str, int] = {}
         by: dict[tuple, list] = {}
-        for o in known.sort_values("id").itertuples():
-            exact.setdefault(o.key, o.id)
+        known = known.sort_values("id")
+        # of equal keys the first open finding, or the last of all where none is open
+        open_ = known["status"] == "open" if "status" in known else pd.Series(True, index=known.index)
+        exact = known.groupby("key")["id"].last().to_dict() | known[open_].groupby("key")["id"].first().to_dict()
+        for o in known.itertuples():
             by.setdefault((2, o.hunk, o.category), []).append(o)
             by.setdefault((4, o.title_key), []).append(o)
             for t in set(o.tt):
@@ -329,7 +374,7 @@ def jn12(spark: SparkSession, d: str) -> DataFrame:
         "side", "severity", T.title_tokens(F.col("title")).alias("tt"), T.title_tokens(F.col("body")).alias("bt"),
     )
     old = c.where("id % 2 = 0").select(*(F.col(x).alias(f"o_{x}") for x in c.columns)).toDF(*c.columns)
-    return match_in_order(c.where("id % 2 = 1"), old)
+    return match_in_order(c.where("id % 2 = 1"), old.withColumn("status", F.when(F.col("id") % 3 == 0, "open").otherwise("fixed")))
 
 
 def fixed_findings(open_: DataFrame, matched: DataFrame, incoming_keys: DataFrame, changed: list[str] | None, sha: int) -> DataFrame:
@@ -351,6 +396,36 @@ def cp14(spark: SparkSession, d: str) -> DataFrame:
     return fixed_findings(open_, f.where("line % 10 = 0").select("finding_id"), keys, ["src/m1/f1.ts", "src/m2/f2.ts", "src/m3/f15.ts", "src/m5/f5.ts", "src/m4/f40.ts"], 5)
 
 
+def settled_findings(open_: DataFrame, matched: DataFrame, incoming: DataFrame, heads: DataFrame, diff_files: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """repo_id, finding_id, path, status of the open findings of all repositories that a review settles (CP14): obsolete if their path left the diff, else fixed.
+
+    `matched` has finding_id; `incoming` repo_id, key; `heads` repo_id, head (the commit reviewed); `diff_files` and, for incremental reviews, `changed` repo_id, path.
+    A finding last seen at the head stays open; one whose commit isn't known doesn't.
+    """
+    keyed = open_.join(matched.select("finding_id").distinct(), "finding_id", "left_anti").withColumn("key", T.semantic_key(F.col("path"), F.col("category"), F.col("title"))).join(incoming, ["repo_id", "key"], "left_anti")
+    left = keyed.join(heads, "repo_id", "left").where(~(F.col("sha").isNotNull() & F.col("sha").eqNullSafe(F.col("head"))))
+    if changed is not None:
+        left = left.join(changed, ["repo_id", "path"], "left_semi")
+    inside = diff_files.select("repo_id", "path").distinct().withColumn("_in", F.lit(True))
+    return left.join(inside, ["repo_id", "path"], "left").select("repo_id", "finding_id", "path", F.when(F.col("_in"), "fixed").otherwise("obsolete").alias("status"))
+
+
+@query("cp14_settled_findings", """WITH k AS (SELECT f.*, path || '|' || category || '|' || trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS key FROM findings f),
+h AS (SELECT repo_id, arg_max(sha, run_id) AS head FROM runs GROUP BY repo_id)
+SELECT k.repo_id, finding_id, path, CASE WHEN EXISTS (SELECT 1 FROM findings d WHERE d.repo_id = k.repo_id AND d.path = k.path AND d.severity = 'nit') THEN 'fixed' ELSE 'obsolete' END AS status
+FROM k LEFT JOIN runs r USING (run_id) LEFT JOIN h ON h.repo_id = k.repo_id WHERE k.status = 'open' AND finding_id NOT IN (SELECT finding_id FROM findings WHERE line % 10 = 0)
+AND NOT EXISTS (SELECT 1 FROM k i WHERE i.line > 48 AND i.repo_id = k.repo_id AND i.key = k.key) AND NOT (r.sha IS NOT NULL AND r.sha IS NOT DISTINCT FROM head)""")
+def cp14_settled(spark: SparkSession, d: str) -> DataFrame:
+    """What full reviews of all repositories settle."""
+    from ..catalog import runs
+
+    f, r = findings(spark, d), runs(spark, d)
+    open_ = f.where("status = 'open'").join(r.select("run_id", "sha"), "run_id", "left")
+    keys = f.where("line > 48").select("repo_id", T.semantic_key(F.col("path"), F.col("category"), F.col("title")).alias("key")).distinct()
+    heads = r.groupBy("repo_id").agg(F.max_by("sha", "run_id").alias("head"))
+    return settled_findings(open_, f.where("line % 10 = 0"), keys, heads, f.where("severity = 'nit'"))
+
+
 def changed_lines(diffs: DataFrame, id: str = "id", patch: str = "patch") -> DataFrame:
     """id, path, line: lines that a unified diff changes on its new side (SF20). Deletions count from where they stood, one line on for each of a run.
 

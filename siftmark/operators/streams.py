@@ -1,4 +1,4 @@
-"""Registered queries of file sources, sinks, streams and stateful folds (SC1, SC7, SC9 to SC11, SC17, ST1, ST8, ST11)."""
+"""Registered queries of file sources, sinks, streams and stateful folds (SC1, SC7, SC9 to SC11, SC17, ST1, ST6, ST8, ST9, ST11, ST12, CP15)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..catalog import table
 from ..registry import query
 from ..sources.files import append_metrics, export_events, parse_configs, seeded, shared_folder, walk, write_bundle
+from ..sources.snapshots import INDEX, Snapshots, apply_index
+from ..streaming.folds import METADATA, PROVIDER, keyed_stream, metadata_stream, paired_streams
 from ..streaming.logs import event_stream, log_sink, turns
 
 
@@ -86,3 +88,67 @@ def st11(spark: SparkSession, d: str) -> DataFrame:
     """Jobs once per id, however often they are asked for: the first asked for stays (its queue and retries are out of scope)."""
     job = F.concat_ws("-", F.lit("review"), F.col("o_custkey") % 500, "o_orderstatus")
     return table(spark, d, "orders").groupBy(job.alias("job_id")).agg(F.min("o_orderkey").alias("first"))
+
+
+@query("cp15_applied_index", """WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS path, text FROM documents WHERE doc_id % 10 <> 3)
+SELECT path, 'file' AS kind, 0 AS n, sha1(text) AS text FROM n UNION ALL SELECT path, 'line', CAST(generate_subscripts(l, 1) AS INTEGER), unnest(l) FROM (SELECT path, string_split(text, chr(10)) AS l FROM n)""")
+def cp15_applied(spark: SparkSession, d: str) -> DataFrame:
+    """An index of an earlier state of the files, brought up to the present one; the SQL builds it anew."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", "text")
+    index = Snapshots(spark, shared_folder(spark, "index"), INDEX, "path", 16)
+    apply_index(index, docs.where("doc_id % 6 != 5").withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("old\n"), "text")).otherwise(F.col("text"))))
+    apply_index(index, docs.where("doc_id % 10 != 3"))
+    return index.read()
+
+
+def event_parts(spark: SparkSession, d: str, path: str, parts: list[int], of: int = 3) -> None:
+    """Append some of `of` runs of the events, each cut off by id, to the files of a stream's folder, with the number of their run (analysis)."""
+    events = table(spark, d, "events")
+    ids = events.agg((F.max("event_id") + 1).alias("top"))  # one row
+    cut = events.join(F.broadcast(ids)).withColumn("analysis", F.floor(F.col("event_id") * of / F.col("top"))).drop("top")
+    for i in parts:
+        cut.where(F.col("analysis") == i).write.mode("append").parquet(path)
+
+
+_EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string, analysis long"
+
+
+@query("st12_replace_stream", """WITH a AS (SELECT (user_id % 10) || ':' || event_type AS key, CAST(floor(event_id * 3 / (max(event_id) OVER () + 1)) AS BIGINT) AS analysis FROM events)
+SELECT key, analysis, count(*) AS n FROM a WHERE analysis = (SELECT max(analysis) FROM a b WHERE b.key = a.key) GROUP BY key, analysis""")
+def st12_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Events of runs that are analysed again and again, as a stream: a later analysis replaces the rows of the same run and kind."""
+    root = shared_folder(spark, "replaced")
+    kept = Snapshots(spark, f"{root}/table", "key string, analysis long, event_id long", "key", 8)
+    event_parts(spark, d, f"{root}/in", [0, 1, 2])
+    rows = spark.readStream.schema(_EVENTS).option("maxFilesPerTrigger", 16).parquet(f"{root}/in")
+    keyed = rows.select(F.concat_ws(":", (F.col("user_id") % 10).cast("string"), "event_type").alias("key"), "analysis", "event_id")
+    keyed_stream(keyed, kept, f"{root}/checkpoint", "analyses", newest="analysis").awaitTermination()
+    return kept.read().groupBy("key", "analysis").agg(F.count("*").alias("n"))
+
+
+@query("st6_metadata_stream", """SELECT user_id, arg_max(event_type, event_id) AS last_type, arg_min(event_type, event_id) AS first_type, arg_max(value, event_id) FILTER (WHERE event_type = 'purchase') AS last_purchase, arg_min(props, event_id) FILTER (WHERE event_type = 'signup') AS first_signup, count(*) AS events FROM events GROUP BY user_id""")
+def st6_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The fold of st6_thread_metadata over a stream that is stopped and started again."""
+    root, before = shared_folder(spark, "metadata"), spark.conf.get(PROVIDER[0], None)
+    kept = Snapshots(spark, f"{root}/table", METADATA, "user_id", 8)
+    spark.conf.set(*PROVIDER)
+    try:
+        for parts in ([0, 1], [2]):
+            event_parts(spark, d, f"{root}/in", parts)
+            rows = spark.readStream.schema(_EVENTS).option("maxFilesPerTrigger", 16).parquet(f"{root}/in")
+            metadata_stream(rows.drop("ts", "analysis"), kept, f"{root}/checkpoint").awaitTermination()
+    finally:
+        spark.conf.set(PROVIDER[0], before) if before else spark.conf.unset(PROVIDER[0])
+    return kept.read()
+
+
+@query("st9_stream_pairs", """SELECT a.user_id AS call, a.event_id AS begin_id, b.event_id AS end_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 1 DAY""")
+def st9_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Begins joined to the ends of the same call within a day, as two streams; each is kept as long as the other's watermark needs it."""
+    root = shared_folder(spark, "pairs")
+    event_parts(spark, d, f"{root}/in", [0, 1, 2])
+    rows = spark.readStream.schema(_EVENTS).option("maxFilesPerTrigger", 16).parquet(f"{root}/in")
+    side = lambda kind, name: rows.where(F.col("event_type") == kind).select(F.col("user_id").alias("call"), F.col("event_id").alias(f"{name}_id"), F.col("ts").alias(f"{name}_ts"))
+    pairs = paired_streams(side("click", "begin"), side("purchase", "end"), "1 day")
+    pairs.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("call long, begin_id long, end_id long").parquet(f"{root}/out")
