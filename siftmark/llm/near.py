@@ -36,7 +36,7 @@ SHORT, LONG = 30, 25
 #: they say of the share of words in common may be below the least share of similar texts: with 3.2 one of 1,400 pairs at the threshold is lost.
 BINS, DEVIATIONS = 256, 3.2
 #: Texts of a bucket in a task, and pairs of them that a task holds at a time.
-BLOCK, PAIRS = 8192, 1 << 16
+BLOCK, PAIRS = 8192, 1 << 14
 #: Parts of the buckets, of which a round takes one, and the share of new links below which rounds end.
 PARTS, WORTH = 8, 0.01
 #: Most pairs that are sent to the texts instead of the other way round.
@@ -84,8 +84,11 @@ def _agree(minima_x: np.ndarray, minima_y: np.ndarray, words_x: np.ndarray, word
     """
     longer, both = np.maximum(words_x, words_y), words_x + words_y
     band = ((1 - least) * longer + 1e-9).astype(np.int64)
-    filled = np.maximum(((minima_x | minima_y) > 0).sum(1), 1)
-    share = ((minima_x == minima_y) & (minima_x > 0)).sum(1) / filled
+    filled = np.count_nonzero(minima_x | minima_y, axis=1)
+    # bins that are empty in both are equal, too
+    same = np.count_nonzero(minima_x == minima_y, axis=1) - (minima_x.shape[1] - filled)
+    filled = np.maximum(filled, 1)
+    share = same / filled
     common = longer - band
     wanted = np.clip(common / np.maximum(both - common, 1), 0, 1)  # 1 where lengths alone rule a pair out
     error = np.sqrt(wanted * (1 - wanted) * np.maximum(1 / filled - 1 / np.maximum(both - common, 1), 0))
@@ -322,7 +325,7 @@ def _possible(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) that can be similar by their lengths and minima."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 2048) for whole in batches for i in range(0, whole.num_rows, 2048)):
             if batch.num_rows:
                 _, fit = _agree(_minima(batch.column("x")), _minima(batch.column("y")), batch.column("x_words").to_numpy(), batch.column("y_words").to_numpy(), least)
                 yield batch.select(["a", "b"]).filter(pa.array(fit))
@@ -445,9 +448,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             data = np.frombuffer(expand(packed), np.uint8)
             return Words(data, np.array([0, len(data)])).hashes()
 
-        for batch in batches:
-            kept = [similar(hashes(x.as_py()), hashes(y.as_py()), least) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+        for whole in batches:
+            for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                kept = [similar(hashes(x.as_py()), hashes(y.as_py()), least) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     if pairs.count() <= FEW:
         # few pairs are broadcast, so that no other texts are shuffled
