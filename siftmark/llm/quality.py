@@ -153,13 +153,14 @@ def judge_quality(df: DataFrame, text: str = "text", lang: str = "lang", referen
     """
     new = ["word_chars", "n_words", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "word_distance", "base_failed", "kept"]
     kept = [c for c in df.columns if c not in new]
-    out = _histograms(text_counts(df.select(*kept), text), lang)
+    # the row's own columns travel as one value, so that names can't clash
+    out = _histograms(text_counts(df.select(F.struct(*kept).alias("own"), F.col(text).alias("text"), F.col(lang).alias("lang")), "text"), "lang")
     classes, words = ({k: shares(v) for k, v in x.items()} for x, shares in zip(references, (whole_shares, with_rest), strict=True))
     out = out.withColumns({
         "_shares": F.expr("transform(_counts, x -> coalesce(try_divide(greatest(x, 0), _judged), 0D))"),
         "_word_shares": F.expr("transform(array_append(_hits, greatest(0, n_words - aggregate(_hits, 0L, (s, x) -> s + x))), x -> coalesce(try_divide(x, n_words), 0D))"),
-        "_class_reference": _by_language(classes, T.DoubleType())[F.col(lang)],
-        "_word_reference": _by_language(words, T.DoubleType())[F.col(lang)],
+        "_class_reference": _by_language(classes, T.DoubleType())[F.col("lang")],
+        "_word_reference": _by_language(words, T.DoubleType())[F.col("lang")],
     })
     out = out.withColumns({
         "class_distance": F.when(F.col("_judged") >= MIN_CHARS, js_distance("_shares", "_class_reference")),
@@ -167,7 +168,7 @@ def judge_quality(df: DataFrame, text: str = "text", lang: str = "lang", referen
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
     })
     far = (F.coalesce("class_distance", F.lit(0.0)) > CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > WORD_DISTANCE)
-    return out.withColumn("kept", ~F.col("base_failed") & ~far).select(*kept, *new)
+    return out.withColumn("kept", ~F.col("base_failed") & ~far).select(*(F.col("own")[c].alias(c) for c in kept), *new)
 
 
 def whole_shares(shares: tuple[float, ...]) -> list[float]:

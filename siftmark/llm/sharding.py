@@ -50,7 +50,7 @@ def feistel_shards(df: DataFrame, keys: list[str], shards: int, seed: int = 7) -
     new names replace columns of the same name.
     """
     rows = number_rows(df.drop("row_no", "place", "shard", "slot"), keys)
-    n = df.count()
+    n = rows.count()  # of the checkpointed layout
     return (
         rows.withColumn("place", permuted("row_no", n, seed))
         .withColumn("shard", (F.col("place") % shards).cast("int"))

@@ -259,6 +259,16 @@ def test_op4_query(spark, tmp_path):
         assert (r.size, r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "rows", place % 40, place // 40, None)
 
 
+def test_own_columns_stay(spark):
+    """Columns with names that the operators use inside come back as they were."""
+    names = ["doc_id", "text", "lang", "own", "part", "at", "tie", "key0", "weight", "_part", "_tie", "_at", "_weight", "_n0", "_w0", "_text", "_words", "_plain", "_lines", "_judged", "_counts", "kept_"]
+    rows = [(i, f"text {i} " * 60, "en", *(f"{c}{i}" for c in names[3:])) for i in range(5)] + [(None, None, None, *names[3:])]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    for out in (sharding.feistel_shards(df, ["doc_id"], 3), quality.judge_quality(df), number_rows(df, ["_tie", "part"], F.length("_text"))):
+        assert sorted(map(tuple, out.select(*names).collect()), key=repr) == sorted(rows, key=repr)
+    assert quality.drop_rejected(df).columns == names
+
+
 def test_number_rows(spark):
     df = spark.createDataFrame([(3, 5), (1, 7), (None, 1), (3, 2)], "k int, w int").repartition(3)
     from pyspark.sql import functions as F
