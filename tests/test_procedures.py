@@ -177,6 +177,51 @@ def test_matching_consumes_old_findings(spark):
     assert got == {1: (70, 1), 2: (80, 2), 3: (90, 3), 4: (95, 4), 5: (None, None), 6: (70, 1)}
 
 
+def test_exact_keys_prefer_open_findings(spark):
+    row = lambda id, key, *status: (1, "a.ts", id, id, 10 * id, id, "bug", key, f"t{id}", "RIGHT", "nit", [], [], *status)
+    new = spark.createDataFrame([row(1, "x"), row(2, "y"), row(3, "z")], MATCH)
+    old = [row(70, "x", "fixed"), row(71, "x", "open"), row(72, "x", "open"), row(73, "x", "fixed"), row(80, "y", "fixed"), row(81, "y", "obsolete")]
+    got = {r.id: (r.matched, r.step) for r in match_in_order(new, spark.createDataFrame(old, MATCH + ", status string")).collect()}
+    # the first that is open; the last where none is
+    assert got == {1: (71, 1), 2: (81, 1), 3: (None, None)}
+
+
+def test_new_rows_are_kept_in_order(spark):
+    import random
+
+    from siftmark.operators.review import kept_in_order
+
+    r = random.Random(9)
+    new = [(r.choice(["a", "b", "hot", "hot", None]), r.choice([None, *range(120)]), i) for i in range(400)]
+    base = [(r.choice(["a", "b"]), r.randrange(120)) for _ in range(6)] + [("a", None), (None, 3)]
+    got = sorted(x.ordinal for x in kept_in_order(spark.createDataFrame(new, "key string, line long, ordinal long"), spark.createDataFrame(base, "key string, line long")).collect())
+    held: dict = {}
+    for key, line in base:
+        held.setdefault(key, []).append(line)
+    want = []
+    for key, line, i in new:
+        if key is not None and line is not None and all(x is None or abs(x - line) > 8 for x in held.get(key, [])):
+            held.setdefault(key, []).append(line)
+            want.append(i)
+    assert got == want and len(want) > 10
+    # two lines after a base row, and 36 after it
+    one = kept_in_order(spark.createDataFrame([("k", 12, 1), ("k", 46, 2)], "key string, line long, ordinal long"), spark.createDataFrame([("k", 10)], "key string, line long"))
+    assert [x.ordinal for x in one.collect()] == [2]
+    assert kept_in_order(spark.createDataFrame([], "key string, line long, ordinal long"), spark.createDataFrame([], "key string, line long")).collect() == []
+
+
+def test_settled_findings(spark):
+    from siftmark.operators.review import settled_findings
+
+    row = lambda id, path, sha, title="t": (1, str(id), path, "bug", title, sha)
+    open_ = spark.createDataFrame([row(1, "a", 1), row(2, "gone", 1), row(3, "a", 5), row(4, "a", None), row(5, "a", 1, "Seen again!"), row(6, "a", 1), row(7, "b", 1)], "repo_id long, finding_id string, path string, category string, title string, sha long")
+    df = lambda schema, *x: spark.createDataFrame(list(x), schema)
+    parts = df("finding_id string", ("6",), ("6",)), df("repo_id long, key string", (1, "a|bug|seen again")), df("repo_id long, head long", (1, 5)), df("repo_id long, path string", (1, "a"), (1, "a"), (1, "b"))
+    got = {r.finding_id: r.status for r in settled_findings(open_, *parts).collect()}
+    assert got == {"1": "fixed", "2": "obsolete", "4": "fixed", "7": "fixed"}
+    assert {r.finding_id for r in settled_findings(open_, *parts, changed=df("repo_id long, path string", (1, "b"))).collect()} == {"7"}
+
+
 def test_rare_tokens_find_all_likely_pairs(spark):
     import random
 
