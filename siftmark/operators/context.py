@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import findings, graph_edges, graph_nodes, table, units
 from ..functions import text as T
+from ..plans.headings import heading_sections
 from ..plans.traversal import best_first, fuse_context
 from ..plans.retrieval import Weights
 from ..registry import query
@@ -140,6 +141,39 @@ def structural_scores(nodes: DataFrame, question: str, changed: list[str], w: We
     return best.select("id", "b.*")
 
 
+def _markdown(units: DataFrame) -> DataFrame:
+    """Units with headings in their texts: each line whose length is a multiple of three is one, of a level by its length; every eleventh length opens or closes a fence."""
+    line = F.expr("transform(split(text, '\n'), line -> if(length(line) % 11 = 0, '```', if(length(line) % 3 = 0, concat(repeat('#', length(line) % 7 + 1), ' ', line), line)))")
+    return units.withColumn("text", F.array_join(line, "\n"))
+
+
+_SECTIONS_SQL = r"""ml AS (SELECT id, path, kind, list_transform(string_split(text, chr(10)), lambda l: CASE WHEN length(l) % 11 = 0 THEN '```' WHEN length(l) % 3 = 0 THEN repeat('#', length(l) % 7 + 1) || ' ' || l ELSE l END) AS ls FROM units),
+mx AS (SELECT id, path, kind, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM ml),
+mf AS (SELECT *, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n) AS fences FROM mx),
+mh AS (SELECT *, CASE WHEN fences % 2 = 0 AND regexp_matches(line, '^#{1,6}[ 	]+[^ 	
+]') THEN length(regexp_extract(line, '^(#{1,6})[ 	]+', 1)) END AS level FROM mf),
+mn AS (SELECT *, count(level) OVER (PARTITION BY id ORDER BY n) AS node FROM mh),
+sc AS (SELECT id, any_value(path) AS path, any_value(kind) AS kind, node, CAST(max(level) AS INTEGER) AS level, trim(regexp_replace(max(line) FILTER (WHERE level IS NOT NULL), '^#{1,6}[ 	]+', '')) AS title, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE level IS NULL), '') AS text FROM mn WHERE node > 0 GROUP BY id, node),
+se AS (SELECT *, (SELECT max(p.node) FROM sc p WHERE p.id = sc.id AND p.node < sc.node AND p.level < sc.level) AS parent FROM sc)"""
+
+
+@query("cp5_heading_tree", f"WITH {_SECTIONS_SQL} SELECT id, node, level, title, parent, text FROM se")
+def cp5_tree(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of whole texts, and the tree of their headings."""
+    return heading_sections(_markdown(units(spark, d).select("id", "text")))
+
+
+@query("cp5_section_scores", f"""WITH {_SECTIONS_SQL}, t AS (SELECT id, path, kind, {_tokens('title')} AS tt, {_tokens('substr(text, 1, 10000)')} AS tx, {_tokens(f"'{_CP5}'")} AS q FROM se),
+s AS (SELECT id, {_overlap('q', 'tt')} AS semantic, {_overlap('q', 'tx')} AS lexical, CASE WHEN path IN ('src1/fr/f1.txt', 'src2/en/f0.txt') THEN 0.16 WHEN regexp_replace(path, '/[^/]*$', '') IN ('src1/fr', 'src2/en') THEN 0.08 ELSE 0.0 END AS path_boost,
+  CASE kind WHEN 'symbol' THEN 0.02 WHEN 'chunk' THEN 0.03 ELSE 0.0 END AS kind_boost FROM t)
+SELECT id, round(max(semantic * 0.62 + lexical * 0.22 + path_boost + kind_boost), 9) AS score FROM s GROUP BY id""")
+def cp5_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Structural scores of units by their best section, from the tree of headings."""
+    u = units(spark, d).select("id", "path", "kind", "text")
+    nodes = heading_sections(_markdown(u)).join(u.select("id", "path", "kind"), "id")
+    return structural_scores(nodes, _CP5, CHANGED).select("id", F.round("score", 9).alias("score"))
+
+
 @query("tk12_matching_files", "SELECT doc_id FROM documents WHERE regexp_matches(text, 'stup[a-z]d|clown') ORDER BY doc_id DESC LIMIT 2000")
 def tk12(spark: SparkSession, d: str) -> DataFrame:
     """Files whose content matches a pattern, newest first."""

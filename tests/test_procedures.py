@@ -305,3 +305,16 @@ def test_read_config(spark, tmp_path):
 
     got = {r.file[-6]: (r.cap, r.warning) for r in read_config(spark, str(tmp_path), StructType([StructField("cap", IntegerType())])).collect()}
     assert got == {"a": (3, "unknown keys: x"), "b": (4, "repaired"), "c": (None, "no configuration found"), "d": (5, "read as lines")}
+
+
+def test_heading_sections(spark):
+    from siftmark.plans.headings import heading_sections
+
+    text = "intro\n# One\na\n### Deep\n```\n# not one\n```\nb\n## Two #\n#no blank\n####### seven\n# \n###### Six\n# Last"
+    docs = spark.createDataFrame([(1, text), (2, "no headings\n #indented"), (3, None), (4, ""), (5, "# x\n# x")], "id long, text string")
+    got = {(r["id"], r["node"]): (r["level"], r["title"], r["parent"], r["text"]) for r in heading_sections(docs).collect()}
+    assert got == {
+        (1, 1): (1, "One", None, "a"), (1, 2): (3, "Deep", 1, "```\n# not one\n```\nb"), (1, 3): (2, "Two #", 1, "#no blank\n####### seven\n# "), (1, 4): (6, "Six", 3, ""), (1, 5): (1, "Last", None, ""),
+        (5, 1): (1, "x", None, ""), (5, 2): (1, "x", None, ""),
+    }
+    assert heading_sections(spark.createDataFrame([], "id long, text string")).collect() == []
