@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from ..catalog import findings, graph_edges, graph_nodes, table, units
 from ..functions import text as T
+from ..plans import bm25 as index
 from ..plans.headings import heading_sections
 from ..plans.traversal import best_first, fuse_context
 from ..plans.retrieval import Weights
 from ..registry import query
+from ..sources.files import shared_folder
 from .retrieval import CHANGED, _overlap, _tokens
 
 
@@ -94,6 +96,18 @@ def cp16(spark: SparkSession, d: str) -> DataFrame:
     return scores.select("id", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "id").limit(20)
 
 
+@query("cp16_indexed_search", """WITH e AS (SELECT doc_id AS id, concat_ws(' ', source, lang, CASE WHEN trim(text) <> '' THEN text END, n_chars) AS text FROM documents), w AS (SELECT id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM e), t AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM w),
+h AS (SELECT id, len(w) AS n, term, len(list_filter(w, lambda x: x = term)) AS tf FROM w, (VALUES ('trash'), ('pathetic'), ('de'), ('300')) q(term) WHERE list_contains(w, term)), f AS (SELECT term, count(*) AS df FROM h GROUP BY term)
+SELECT id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))), 9) AS score FROM h JOIN f USING (term), t GROUP BY id""")
+def cp16_index(spark: SparkSession, d: str) -> DataFrame:
+    """A search of the index over several fields of all documents; the SQL scans them."""
+    docs = table(spark, d, "documents")
+    entries = docs.select(F.col("doc_id").alias("id"), index.search_text(F.col("source"), F.col("lang"), F.col("text"), keys=F.array(F.col("n_chars").cast("string"))).alias("text"))
+    path = shared_folder(spark, "bm25")
+    index.write_index(entries, path, 16)
+    return index.search_index(spark, path, "Trash, pathetic: de 300!").select("id", F.round("score", 9).alias("score"))
+
+
 def subsequence_score(path: Column, pattern: str) -> Column:
     """Score of a pattern whose characters occur in order in a path, else null (CP17).
 
@@ -150,7 +164,7 @@ def _markdown(units: DataFrame) -> DataFrame:
 _SECTIONS_SQL = r"""ml AS (SELECT id, path, kind, list_transform(string_split(text, chr(10)), lambda l: CASE WHEN length(l) % 11 = 0 THEN '```' WHEN length(l) % 3 = 0 THEN repeat('#', length(l) % 7 + 1) || ' ' || l ELSE l END) AS ls FROM units),
 mx AS (SELECT id, path, kind, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM ml),
 mf AS (SELECT *, sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n) AS fences FROM mx),
-mh AS (SELECT *, CASE WHEN fences % 2 = 0 AND regexp_matches(line, '^#{1,6}[ 	]+[^ 	
+mh AS (SELECT *, CASE WHEN fences % 2 = 0 AND regexp_matches(line, '^#{1,6}[ 	]+[^ 	
 ]') THEN length(regexp_extract(line, '^(#{1,6})[ 	]+', 1)) END AS level FROM mf),
 mn AS (SELECT *, count(level) OVER (PARTITION BY id ORDER BY n) AS node FROM mh),
 sc AS (SELECT id, any_value(path) AS path, any_value(kind) AS kind, node, CAST(max(level) AS INTEGER) AS level, trim(regexp_replace(max(line) FILTER (WHERE level IS NOT NULL), '^#{1,6}[ 	]+', '')) AS title, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE level IS NULL), '') AS text FROM mn WHERE node > 0 GROUP BY id, node),

@@ -318,3 +318,23 @@ def test_heading_sections(spark):
         (5, 1): (1, "x", None, ""), (5, 2): (1, "x", None, ""),
     }
     assert heading_sections(spark.createDataFrame([], "id long, text string")).collect() == []
+
+
+def test_index_of_words(spark, tmp_path):
+    """The index gives what a scan gives, and a search reads the buckets of its words alone."""
+    from siftmark.operators.context import bm25
+    from siftmark.plans.bm25 import search_index, search_text, write_index
+
+    texts = ["a b b c", "b", "", None, "c c c d", "É b-b", "x " * 5000 + "b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    write_index(docs, f"file://{tmp_path}/i", 8)
+    for question in ("b", "B, é! zz", "c d x", "", "?", "zz"):
+        got = {r["id"]: round(r["score"], 9) for r in search_index(spark, f"file://{tmp_path}/i", question).collect()}
+        scan = {r["id"]: round(r["score"], 9) for r in bm25(docs.fillna(""), question.replace(",", "").replace("!", "").replace("?", "")).collect()} if question.strip("?") else {}
+        assert got == scan
+    plan = search_index(spark, f"file://{tmp_path}/i", "b")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    write_index(docs.where("false"), f"file://{tmp_path}/none")
+    assert search_index(spark, f"file://{tmp_path}/none", "b").collect() == []
+    row = spark.createDataFrame([("n", " ", None, ["k1", "k2"])], "a string, b string, c string, k array<string>")
+    assert row.select(search_text(F.col("a"), F.col("b"), F.col("c"), keys=F.col("k"))).first()[0] == "n k1 k2"
