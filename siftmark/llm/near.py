@@ -153,7 +153,7 @@ def _short_buckets(words: Words, hashes: RangeHashes, new: np.ndarray, least: fl
 
 
 def sketch_texts(df: DataFrame, text: str, columns: list[str], least: float = SIMILARITY) -> DataFrame:
-    """row (a number of its own), own (a struct of `columns`), _same (a hash of the word sequence), words (how many), packed, minima (of words) and sketches (buckets) of every row.
+    """row (a number of its own), own (a struct of `columns`), _same (a hash of the word sequence), words (how many), packed, minima (of words), prints (32 bits of each sketch) and sketches (buckets) of every row.
 
     A task gives a text's sketches once, however many copies it meets, as long as it can remember SEEN texts.
     """
@@ -182,17 +182,20 @@ def sketch_texts(df: DataFrame, text: str, columns: list[str], least: float = SI
                 minima: list[bytes | None] = [None] * n
                 for i, x in zip(*_word_minima(words, of_words, new), strict=True):
                     minima[i] = x.tobytes()
+                prints: list[bytes | None] = [None] * n
+                for i, x in zip(*kinds[0], strict=True):
+                    prints[i] = x.astype(np.uint32).tobytes()
                 packed = [compress(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 own = batch.slice(at, n)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + n)), own.column("own"), pa.array(same.view(np.int64)), pa.array(np.diff(words.first), pa.int64()), pa.array(packed, pa.binary()), pa.array(minima, pa.binary()), lists],
-                    ["row", "own", "_same", "words", "packed", "minima", "sketches"],
+                    [pa.array(np.arange(row, row + n)), own.column("own"), pa.array(same.view(np.int64)), pa.array(np.diff(words.first), pa.int64()), pa.array(packed, pa.binary()), pa.array(minima, pa.binary()), pa.array(prints, pa.binary()), lists],
+                    ["row", "own", "_same", "words", "packed", "minima", "prints", "sketches"],
                 )
                 row += n
 
     rows = df.select(F.struct(*columns).alias("own"), F.col(text).alias("_text"))
     schema = rows.schema["own"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row long, own {schema}, _same long, words long, packed binary, minima binary, sketches array<bigint>")
+    return rows.mapInArrow(run, f"row long, own {schema}, _same long, words long, packed binary, minima binary, prints binary, sketches array<bigint>")
 
 
 def _neighbours(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -229,7 +232,7 @@ def _neighbours(sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _apart(members: DataFrame, texts: DataFrame, tied: DataFrame) -> DataFrame:
-    """cell (a bucket, and two of its blocks where it has several), side, class, text, words, minima of the texts in buckets with more than one class."""
+    """cell (a bucket, and two of its blocks where it has several), side, class, text, words, minima, prints of the texts in buckets with more than one class."""
     known = members.select("text").distinct().join(tied.select(F.col("node").alias("text"), "component"), "text", "left")
     known = materialize(known.select("text", F.coalesce("component", "text").alias("class")), "known")
     placed = materialize(members.join(known, "text"), "placed")
@@ -239,7 +242,7 @@ def _apart(members: DataFrame, texts: DataFrame, tied: DataFrame) -> DataFrame:
     small = dealt.where("blocks = 1").withColumn("other", F.col("side"))
     large = dealt.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = small.unionByName(large).select(F.struct("bucket", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).alias("cell"), "side", "class", "text")
-    out = materialize(dealt.join(texts.select("text", "words", "minima"), "text"), "apart")
+    out = materialize(dealt.join(texts.select("text", "words", "minima", "prints"), "text"), "apart")
     discard(known, placed)
     return out
 
@@ -268,6 +271,17 @@ def _minima(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(x if x is not None else bytes(BINS) for x in column.to_pylist()), np.uint8).reshape(-1, BINS)
 
 
+def _prints(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(x if x is not None else bytes(4 * SKETCHES) for x in column.to_pylist()), np.uint32).reshape(-1, SKETCHES)
+
+
+def _here(x: np.ndarray, y: np.ndarray, bucket: int) -> np.ndarray:
+    """Whether pairs (their prints) are told in this bucket: in that of the first sketch that they have in common, and in all of theirs if they have none."""
+    same = (x == y) & (x > 0)
+    first = same.argmax(1)
+    return ~same.any(1) | (x[np.arange(len(x)), first] == np.uint32(bucket & 0xFFFFFFFF))
+
+
 def _top(one: np.ndarray, other: np.ndarray, share: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the pairs of each `one`, that with the most in common; ties go to the smaller text."""
     order = np.lexsort((text[other], -share, one))
@@ -278,11 +292,11 @@ def _top(one: np.ndarray, other: np.ndarray, share: np.ndarray, text: np.ndarray
 
 def _met(apart: DataFrame, least: float, best: bool) -> DataFrame:
     """Pairs (a, b) of texts of a bucket in different classes that can be similar by their lengths and minima: all, or with `best` only each
-    text's best of each bucket. A task holds one cell and PAIRS pairs at a time; only what is left of them goes out."""
+    text's best of each bucket. A pair of all goes out in one of the buckets that it shares. A task holds one cell and PAIRS pairs at a time; only what is left of them goes out."""
 
-    def pairs(classes: np.ndarray, side: np.ndarray, text: np.ndarray, words: np.ndarray, minima: np.ndarray) -> pa.RecordBatch:
+    def pairs(bucket: int, classes: np.ndarray, side: np.ndarray, text: np.ndarray, words: np.ndarray, minima: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
         order = np.lexsort((text, classes, side))
-        classes, side, text, words, minima = (x[order] for x in (classes, side, text, words, minima))
+        classes, side, text, words, minima, prints = (x[order] for x in (classes, side, text, words, minima, prints))
         left = int(np.searchsorted(side, side[0], "right"))
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for x, y in _across(classes, left < len(text), left):
@@ -291,7 +305,8 @@ def _met(apart: DataFrame, least: float, best: bool) -> DataFrame:
             if best:
                 found[0] = _top(*(np.concatenate(v) for v in ((found[0][0], x, y), (found[0][1], y, x), (found[0][2], share, share))), text)
             else:
-                found.append((x, y, share))
+                own = _here(prints[x], prints[y], bucket)
+                found.append((x[own], y[own], share[own]))
         x, y, _ = (np.concatenate(v) for v in zip(*found, strict=True))
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(text[x], text[y])), pa.array(np.maximum(text[x], text[y]))], ["a", "b"])
 
@@ -304,9 +319,9 @@ def _met(apart: DataFrame, least: float, best: bool) -> DataFrame:
             edge = np.append(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1, table.num_rows)
             edge = np.append(0, edge if last else edge[:-1])
             columns = [table.column(c).to_numpy() for c in ("class", "side", "text", "words")]
-            minima = _minima(table.column("minima"))
+            columns += [_minima(table.column("minima")), _prints(table.column("prints"))]
             for a, b in zip(edge[:-1], edge[1:], strict=True):
-                yield pairs(*(x[a:b] for x in columns), minima[a:b])
+                yield pairs(int(cell[0, a]), *(x[a:b] for x in columns))
             waiting[:] = [table.slice(edge[-1])] if edge[-1] < table.num_rows else []
 
         for batch in batches:
@@ -317,7 +332,7 @@ def _met(apart: DataFrame, least: float, best: bool) -> DataFrame:
         if waiting:
             yield from cells(pa.concat_tables(waiting).combine_chunks(), True)
 
-    laid = apart.repartition("cell").sortWithinPartitions("cell").select("cell.*", "class", "side", "text", "words", "minima")
+    laid = apart.repartition("cell").sortWithinPartitions("cell").select("cell.*", "class", "side", "text", "words", "minima", "prints")
     return laid.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -467,11 +482,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def _classes(df: DataFrame, text: str, columns: tuple[str, ...], id: str, least: float) -> DataFrame:
     """row, own, class_id, class_row, class_texts of every row; see `near_duplicates`."""
     rows = materialize(sketch_texts(df, text, list(dict.fromkeys([*columns, id])), least), "sketched")
-    texts = rows.groupBy(F.col("_same").alias("text")).agg(F.min("row").alias("row"), F.min("words").alias("words"), F.max("minima").alias("minima"), F.min(F.struct(F.col("own")[id].alias("id"), F.col("row").alias("row"))).alias("lead"))
+    texts = rows.groupBy(F.col("_same").alias("text")).agg(F.min("row").alias("row"), F.min("words").alias("words"), F.max("minima").alias("minima"), F.max("prints").alias("prints"), F.min(F.struct(F.col("own")[id].alias("id"), F.col("row").alias("row"))).alias("lead"))
     texts = materialize(texts, "texts")
     pairs, members = _neighbours(rows.select(F.col("_same").alias("text"), F.explode("sketches").alias("bucket")))
     met = members.select("text").distinct()
-    sketches = materialize(texts.select("text", "words", "minima").join(met, "text"), "minima")
+    sketches = materialize(texts.select("text", "words", "minima", "prints").join(met, "text"), "minima")
     # neither side has a bound that would allow a broadcast
     candidates = materialize(rows.select("row", "packed").hint("merge").join(texts.select("text", "row").join(met, "text"), "row").select("text", "packed"), "candidates")
     best = materialize(_possible(pairs.groupBy("b").agg(F.max(F.struct("n", "a")).alias("x")).select("x.a", "b"), sketches, least), "best")

@@ -376,12 +376,16 @@ def test_pairs_of_a_bucket(spark, monkeypatch, blocks):
     monkeypatch.setattr(near, "PAIRS", 50)
     r = np.random.RandomState(2)
     minima = [bytes(((r.rand(near.BINS) < 0.1) + 1).astype(np.uint8).tolist()) for _ in range(40)]
-    texts = spark.createDataFrame([(i, 100 + i % 3, m) for i, m in enumerate(minima)], "text long, words long, minima binary")
+    # the first half of the texts have the same sketch 3, which is bucket 5's, and then bucket 6's; the others have none
+    prints = [np.array([0, 0, 0, 5, 6] + [0] * (near.SKETCHES - 5), np.uint32).tobytes() if i < 20 else None for i in range(40)]
+    texts = spark.createDataFrame([(i, 100 + i % 3, m, p) for i, (m, p) in enumerate(zip(minima, prints, strict=True))], "text long, words long, minima binary, prints binary")
     members = spark.createDataFrame([(b, i) for b in (5, 6) for i in range(40)], "bucket long, text long")
     tied = spark.createDataFrame([(i, i % 7) for i in range(40)], "node long, component long")
     apart = near._apart(members, texts, tied)
     assert apart.select("cell").distinct().count() == 2 * blocks * (blocks + 1) // 2
     got = {(x.a, x.b) for x in near._met(apart, 0.8, False).collect()}
+    x, y = (np.array(v, np.uint32) for v in ([[0, 7, 8], [0, 7, 8], [0, 0, 0], [1, 7, 9]], [[0, 7, 8], [0, 1, 8], [0, 0, 0], [2, 7, 9]]))
+    assert [near._here(x, y, b << 40 | b).tolist() for b in (7, 8)] == [[True, False, True, True], [False, True, True, False]]
     assert got == {(a, b) for a in range(40) for b in range(a + 1, 40) if a % 7 != b % 7}
     best = {(x.a, x.b) for x in near._met(apart, 0.8, True).collect()}
     agree = lambda a, b: sum(x == y for x, y in zip(minima[a], minima[b], strict=True))
