@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..catalog import findings, graph_edges, graph_nodes, table, units
 from ..functions import text as T
 from ..plans import bm25 as index
 from ..plans.headings import heading_sections
+from ..plans.stored import stored
 from ..plans.traversal import best_first, fuse_context
 from ..plans.retrieval import Weights
 from ..registry import query
@@ -126,6 +129,52 @@ def cp17(spark: SparkSession, d: str) -> DataFrame:
     return found.where("score is not null").orderBy(F.desc("score"), "path").limit(30)
 
 
+def path_index(paths: DataFrame) -> DataFrame:
+    """path and mask of distinct paths: a bit for each letter and digit that occurs in it, in lower case."""
+    bits = F.expr("aggregate(array_distinct(split(regexp_replace(lower(path), '[^a-z0-9]', ''), '')), 0L, (m, c) -> if(c = '', m, m | shiftleft(1L, if(c <= '9', ascii(c) - 48, ascii(c) - 87))))")
+    return paths.select("path").distinct().withColumn("mask", bits)
+
+
+def _mask(pattern: str) -> int:
+    return sum(1 << int(c, 36) for c in {c for c in pattern.lower() if c.isascii() and c.isalnum()})
+
+
+class FileSearch:
+    """A search that goes on while its pattern is typed (CP17): what a longer pattern finds is among what the shorter one found.
+
+    The paths' masks rule most out before a pattern is tried on them. Each pattern's matches are written, so that the next one reads those alone; another pattern begins anew.
+    """
+
+    def __init__(self, paths: DataFrame):
+        self.index = stored(path_index(paths), "paths")
+        self.found: list[tuple[str, DataFrame]] = []
+
+    def search(self, pattern: str) -> DataFrame:
+        """path and score of all matches of a pattern (see `subsequence_score`)."""
+        while self.found and not pattern.startswith(self.found[-1][0]):
+            self.found.pop()
+        among = self.found[-1][1] if self.found else self.index
+        mask = _mask(pattern)
+        likely = among.where(F.col("mask").bitwiseAND(F.lit(mask)) == mask)
+        kept = stored(likely.where(subsequence_score(F.col("path"), pattern).isNotNull()), "matches")
+        self.found.append((pattern, kept))
+        return kept.select("path", subsequence_score(F.col("path"), pattern).alias("score"))
+
+
+_TYPED = ("s", "s1", "s1f", "s2", "s2e/")
+_TYPED_SQL = " UNION ALL ".join(
+    f"SELECT '{p}' AS pattern, path, CAST(1000 - length(path) + CASE WHEN contains(lower(path), '{p}') THEN 100 ELSE 0 END + CASE WHEN contains(split_part(lower(path), '/', -1), '{p}') THEN 200 ELSE 0 END AS INTEGER) AS score FROM p WHERE regexp_matches(lower(path), '{'.*'.join(p)}')" for p in _TYPED
+)
+
+
+@query("cp17_typed_search", f"WITH p AS (SELECT DISTINCT path FROM units UNION SELECT DISTINCT path FROM findings) {_TYPED_SQL}")
+def cp17_typed(spark: SparkSession, d: str) -> DataFrame:
+    """All matches of a pattern after each key, one going back: from those of the pattern before."""
+    search = FileSearch(units(spark, d).select("path").unionByName(findings(spark, d).select("path")))
+    parts = [search.search(p).select(F.lit(p).alias("pattern"), "path", "score") for p in _TYPED]
+    return reduce(DataFrame.unionByName, parts)
+
+
 _CP5 = "the anthor of thenan and erly for token src1/en"
 # Fixed values of the structural scorer are spelt out here once more: 0.62, 0.22, 0.16, 0.08, 0.02, 0.03.
 @query("cp5_structural_scores", f"""WITH w AS (SELECT id, path, kind, unnest([split_part(text, chr(10), 1), path]) AS title, text FROM units),

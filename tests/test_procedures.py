@@ -338,3 +338,14 @@ def test_index_of_words(spark, tmp_path):
     assert search_index(spark, f"file://{tmp_path}/none", "b").collect() == []
     row = spark.createDataFrame([("n", " ", None, ["k1", "k2"])], "a string, b string, c string, k array<string>")
     assert row.select(search_text(F.col("a"), F.col("b"), F.col("c"), keys=F.col("k"))).first()[0] == "n k1 k2"
+
+
+def test_typed_search(spark):
+    from siftmark.operators.context import FileSearch, subsequence_score
+
+    paths = spark.createDataFrame([(x,) for x in ("src/a1.ts", "src/B1f.ts", "x/s1/f", "", "s", "Src/É1.ts", None, "src/a1.ts", "s-1_f")], "path string")
+    search = FileSearch(paths)
+    for pattern in ("s", "s1", "s1f", "s1", "x", "é", "_f", "s-1"):
+        want = {(r["path"], r["score"]) for r in paths.select("path", subsequence_score(F.col("path"), pattern).alias("score")).where("score is not null").collect()}
+        assert {(r["path"], r["score"]) for r in search.search(pattern).collect()} == want
+    assert [p for p, _ in search.found] == ["s-1"]
