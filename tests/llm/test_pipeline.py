@@ -187,4 +187,4 @@ def test_registered():
     import __spark_entry__
 
     names = [k for k in __spark_entry__.queries() if re.match(r"op\d+_|pipeline", k)]
-    assert sorted(int(k[2:].split("_")[0]) for k in names if k != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(k[2:].split("_")[0]) for k in names if k != "pipeline") == list(range(1, 14)) and "pipeline" in names
