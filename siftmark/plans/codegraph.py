@@ -93,10 +93,11 @@ def _ending(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
 
 
-def _joined(path: Column) -> Column:
-    """A path without `.` and without `..` where a directory stands before it."""
+def _joined(path: Column, at_root: bool = False) -> Column:
+    """A path without `.` and without `..` where a directory stands before it; at the root `..` is kept, or goes if `at_root`."""
     last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(".."))
-    step = lambda acc, x: F.when(x.isin("", "."), acc).when((x == "..") & (last(acc) != ".."), F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.concat(acc, F.array(x)))
+    above = lambda acc, x: F.when((x == "..") & F.lit(at_root), acc).otherwise(F.concat(acc, F.array(x)))
+    step = lambda acc, x: F.when(x.isin("", "."), acc).when((x == "..") & (last(acc) != ".."), F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(above(acc, x))
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
@@ -105,13 +106,16 @@ def clean_spec(spec: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.trim(spec), "^[\"']|[\"']$", ""), "[?#].*$", ""))
 
 
-def import_base(directory: Column, spec: Column, ending: Column) -> Column:
-    """The path that a clean import stands for, before endings are tried; null for one of the runtime's own."""
+def import_base(directory: Column, spec: Column, ending: Column, at_root: bool = False) -> Column:
+    """The path that a clean import stands for, before endings are tried; null for one of the runtime's own.
+
+    An import that leads out of the repository stands for no file of it (as `path.posix.join` has it), or, if `at_root`, goes on from the repository's root.
+    """
     dots = F.length(F.regexp_extract(spec, r"^(\.+)", 1))
     names = F.replace(F.substr(spec, dots + 1), F.lit("."), F.lit("/"))
     anchor = F.array_join(F.slice(F.split(directory, "/"), F.lit(1), F.greatest(F.lit(0), F.size(F.split(directory, "/")) - dots + 1)), "/")
     python = F.when(dots > 0, _joined(F.concat_ws("/", anchor, names))).otherwise(names)
-    other = F.when(spec.startswith("./") | spec.startswith("../"), _joined(F.concat_ws("/", directory, spec))).when(spec.startswith("@/") | spec.startswith("~/"), F.substring(spec, 3, 1 << 30)).when(spec.startswith("/"), F.substring(spec, 2, 1 << 30)).otherwise(spec)
+    other = F.when(spec.startswith("./") | spec.startswith("../"), _joined(F.concat_ws("/", directory, spec), at_root)).when(spec.startswith("@/") | spec.startswith("~/"), F.substring(spec, 3, 1 << 30)).when(spec.startswith("/"), F.substring(spec, 2, 1 << 30)).otherwise(spec)
     return F.when(~spec.startswith("node:") & (spec != ""), T.graph_path(F.when(ending == ".py", python).otherwise(other)))
 
 
@@ -132,12 +136,12 @@ def external_package(spec: Column, ending: Column) -> Column:
     return F.when(~inside & (root != ""), root)
 
 
-def resolved_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
+def resolved_imports(imports: DataFrame, files: DataFrame, at_root: bool = False) -> DataFrame:
     """`imports` with target, the file that an import means, or package. An import that many files of a directory have in common is looked up once."""
     ending, spec = _ending(F.col("path")), clean_spec(F.col("name"))
     known = imports.withColumns({"_dir": T.directory(F.col("path")), "_ending": F.when(ending.isin(*OTHER_ENDINGS), ending).otherwise(""), "_spec": spec})
     key = ["repo", "_dir", "_ending", "_spec"]
-    asked = known.select(*key).distinct().withColumn("_base", import_base(F.col("_dir"), F.col("_spec"), F.col("_ending"))).where("_base != ''")
+    asked = known.select(*key).distinct().withColumn("_base", import_base(F.col("_dir"), F.col("_spec"), F.col("_ending"), at_root)).where("_base != ''")
     asked = asked.withColumn("_own", _ending(F.col("_base"))).withColumn("_stem", F.substr("_base", F.lit(1), F.length("_base") - F.length("_own")))
     tried = asked.select(*key, F.posexplode(import_candidates("_base", "_ending", "_own", "_stem")).alias("_pos", "target"))
     found = tried.join(files.select("repo", F.col("path").alias("target")), ["repo", "target"]).groupBy(*key).agg(F.min_by("target", "_pos").alias("target"))
@@ -178,8 +182,11 @@ def name_edges(names: DataFrame, symbols: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def raw_edges(files: DataFrame, symbols: DataFrame, refs: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> dict[str, DataFrame]:
-    """Raw edges of every type. Only symbols and references of the given files count. `keep` gets what several types are made of, to write it where all are asked for."""
+def raw_edges(files: DataFrame, symbols: DataFrame, refs: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df, at_root: bool = False) -> dict[str, DataFrame]:
+    """Raw edges of every type. Only symbols and references of the given files count. `keep` gets what several types are made of, to write it where all are asked for.
+
+    `at_root` is `import_base`'s.
+    """
     paths = files.select("repo", "path")
     symbols, refs = (x.join(paths, ["repo", "path"], "left_semi") for x in (symbols, refs))
     symbols = keep(symbols, "symbols")
@@ -187,7 +194,7 @@ def raw_edges(files: DataFrame, symbols: DataFrame, refs: DataFrame, keep: Calla
     inner = keep(nested(symbols), "nested")
     out = containment(paths) | {"contains_symbol": _edges(symbols, "contains_symbol", "path", symbol_key())}
     out |= {k: inner.where(F.col("type") == k) for k in ("class_contains_symbol", "symbol_contains_symbol")}
-    out |= import_edges(keep(resolved_imports(refs.where("kind = 'import'"), paths), "imports"))
+    out |= import_edges(keep(resolved_imports(refs.where("kind = 'import'"), paths, at_root), "imports"))
     out |= {"exports_symbol": export_edges(refs.where("kind = 'export'"), symbols)}
     return out | name_edges(refs.where("kind not in ('import', 'export')"), symbols)
 
@@ -211,9 +218,9 @@ def promoted(inferred: DataFrame, direct: DataFrame) -> DataFrame:
     return strong.join(known, ["repo", "from_key", "to_key"], "left_anti").select("repo", F.lit("file_dep").alias("type"), "from_key", "to_key", "weight", F.array().cast("array<string>").alias("examples"))
 
 
-def graph_of(files: DataFrame, symbols: DataFrame, refs: DataFrame) -> DataFrame:
+def graph_of(files: DataFrame, symbols: DataFrame, refs: DataFrame, at_root: bool = False) -> DataFrame:
     """All edges of the graph, promoted ones (`inferred`) included. What several types are made of is written once, and so are the edges before promotion."""
-    edges = stored(aggregated(reduce(DataFrame.unionByName, raw_edges(files, symbols, refs, stored).values())), "drafts")
+    edges = stored(aggregated(reduce(DataFrame.unionByName, raw_edges(files, symbols, refs, stored, at_root).values())), "drafts")
     return edges.withColumn("inferred", F.lit(False)).unionByName(promoted(edges, edges).withColumn("inferred", F.lit(True)))
 
 
