@@ -182,6 +182,7 @@ SPEC = "../../m6/p2/f20.tsx"
 AT_ROOT = {
     "cp6_file_dep": {"repo": 0, "from_key": "f280.ts", "to_key": "m6/p2/f20.ts", "weight": 1, "examples": SPEC},
     "cp6_symbol_imports_file": {"repo": 0, "from_key": "f280.ts:s1:9:8", "to_key": "m6/p2/f20.ts", "weight": 1, "examples": SPEC},
+    "cp6_module_dep": {"repo": 0, "from_key": "module:(root)", "to_key": "module:m6", "weight": 1, "examples": "f280.ts -> m6/p2/f20.ts"},
 }
 
 
