@@ -184,6 +184,7 @@ AT_ROOT = {
     "cp6_symbol_imports_file": {"repo": 0, "from_key": "f280.ts:s1:9:8", "to_key": "m6/p2/f20.ts", "weight": 1, "examples": SPEC},
     "cp6_module_dep": {"repo": 0, "from_key": "module:(root)", "to_key": "module:m6", "weight": 1, "examples": "f280.ts -> m6/p2/f20.ts"},
     "cp7_review_reach": {"repo": 0, "key": "m6/p2/f20.ts", "score": 0.78},
+    "cp8_graph_links": {"repo": 0, "from_path": "f280.ts", "to_path": "m6/p2/f20.ts", "type": "file_dep", "score": 1.88},
 }
 
 
