@@ -24,7 +24,8 @@ w AS (SELECT id, CAST(n AS INTEGER) AS line, regexp_extract(lower(l), '[a-z]+')
 SELECT id, CASE n WHEN 0 THEN 'import' WHEN 1 THEN 'export' WHEN 2 THEN 'import' END AS kind, CASE n WHEN 0 THEN './' || word WHEN 1 THEN word WHEN 2 THEN 'std::' || word END AS name, line FROM (SELECT *, line % 4 AS n FROM w) WHERE n < 3 AND word <> ''""")
 def sf16(spark: SparkSession, d: str) -> DataFrame:
     """Imports and exports of source files that are made of whole documents: the first word of each line, as one of four statements."""
-    word = lambda l: F.regexp_extract(F.lower(l), "[a-z]+", 0)
+    # a dotted capital I is one letter in lower case, as the SQL has it, not two
+    word = lambda l: F.regexp_extract(F.lower(F.replace(l, F.lit("İ"), F.lit("i"))), "[a-z]+", 0)
     code = lambda l, i: F.element_at(F.array(F.concat(F.lit("import a from './"), word(l), F.lit("'")), F.concat(F.lit("export const "), word(l), F.lit(" = 1")), F.concat(F.lit("use std::"), word(l)), F.concat(F.lit("let "), word(l))), ((i + 1) % 4 + 1).cast("int"))
     blank = lambda l, i: F.when(word(l) == "", "").otherwise(code(l, i))
     source = F.array_join(F.transform(F.split("text", "\n"), blank), "\n")

@@ -53,6 +53,28 @@ def test_diff_lines_have_both_sides():
     assert [(p, s, n) for p, s, n, _ in found] == [("b/lib/u.ts", "LEFT", 5), ("b/lib/u.ts", "RIGHT", 7), ("b/lib/u.ts", "LEFT", 6), ("b/lib/u.ts", "RIGHT", 8)]
 
 
+def test_statements_have_the_line_of_their_first_word():
+    text = "\n\nuse std::io\nlet import\n\nimport a from './a'\n \n  import os\n\nuse std::export\nlet b\nlet export\n\nlet c; export const d = 1\nimport {e}\n  from './e'\n\n  pub fn f"
+    assert P.statements(text) == [("import", "std::io", 3), ("import", "./a", 6), ("import", "os", 8), ("import", "std::export", 10), ("export", "d", 14), ("import", "./e", 15), ("export", "f", 18)]
+
+
+def test_statements_query_with_blank_lines_and_keywords(spark, tmp_path):
+    """Lines whose first words are the statements' own keywords, and blank ones between, in every order; and every character beside letters."""
+    import duckdb
+
+    from siftmark.queries import ORACLE_SQL, QUERIES
+
+    words = ["import", "export", "let", "from", "use", "", "  ", "Const x"]
+    texts = ["\n".join(words[(i // 8**k) % 8] for k in range(4)) + "\n" + "\n".join(words[(i * 7 + k * k) % 8] for k in range(9)) for i in range(0, 4096, 3)]
+    texts += ["\n".join(f"ab{chr(c)}cd" for c in range(at, at + 256) if c != 10 and not 0xD800 <= c < 0xE000) for at in range(1, 0x2FFFF, 256)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    mine = QUERIES["sf16_statements"](spark, str(tmp_path))
+    want = con.sql(f"SELECT {', '.join(mine.columns)} FROM ({ORACLE_SQL['sf16_statements']})").fetchall()
+    assert sorted(map(tuple, mine.collect())) == sorted(want) and len(want) > 10000
+
+
 def test_middle_cut_keeps_whole_characters():
     assert P.middle_cut("short", 10) == "short"
     cut = P.middle_cut("é" * 50, 21)
