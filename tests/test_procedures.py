@@ -255,6 +255,40 @@ def test_rare_tokens_find_all_likely_pairs(spark):
     assert like <= got and len(got) < 0.9 * 2 * 75 * 75
 
 
+def test_best_matches_meet_by_kinds(spark):
+    """The same as all pairs give, with nulls and repeated ids; findings that are all alike ask for a row or two each, not for one another."""
+    import random
+    from pathlib import Path
+
+    from siftmark.operators.review import best_matches
+
+    r = random.Random(9)
+    words = ["cold", "bolt", "hot", "gear", "ring", "old"]
+    some = lambda n: r.sample(words, r.randrange(1, n))
+    rows = [(r.randrange(400), r.choice(["a", "b", None]), r.choice("xy"), r.choice(["L", "R", None]), r.choice(["nit", "bug"]), r.choice([None, *range(0, 90, 3)]), r.choice([some(4), some(4), some(3), [], None]), r.choice([some(4), [], None])) for _ in range(420)]
+    rows += [(1000 + i, "same", "x", "R", "nit", i % 40, ["bolt", "cold", "ring"], ["bolt", "cold"]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, path string, category string, side string, severity string, line long, tt array<string>, bt array<string>")
+    jaccard = lambda a, b: len({*a} & {*b}) / len({*a} | {*b}) if a and b else 0.0
+    want = {}
+    for n in rows:
+        for o in rows:
+            if o[0] < n[0] and n[1] is not None and o[1:3] == n[1:3]:
+                title, far = jaccard(n[6], o[6]), n[5] is None or o[5] is None
+                dist = None if far else abs(n[5] - o[5])
+                if title >= 0.5 or (title >= 0.34 and not far and dist <= 8):
+                    near = 0.3 if far else 1.0 if dist <= 2 else 0.9 if dist <= 6 else 0.75 if dist <= 12 else 0.55 if dist <= 25 else 0.3
+                    same = lambda i: 1.0 if n[i] is not None and n[i] == o[i] else 0.7  # noqa: B023,E731
+                    score = round(title * 0.64 + jaccard(n[7], o[7]) * 0.16 + near * 0.14 + same(3) * 0.04 + same(4) * 0.02, 9)
+                    if score >= 0.5:
+                        want[n[0]] = max(want.get(n[0], (0, 0)), (score, -o[0]))
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = {*shared.glob("siftmark-asked-*")}
+    got = {x["id"]: (x["score"], -x["old_id"]) for x in best_matches(df).collect()}
+    assert got == want and len(got) > 690
+    [asked] = {*shared.glob("siftmark-asked-*")} - before
+    assert spark.read.parquet(str(asked)).where("id >= 1000").count() < 2 * 600
+
+
 def test_middle_cut_query(spark):
     from siftmark.queries import QUERIES
 
