@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftmark.plans import codegraph as G
+from siftmark.plans import traversal as traversal_plans
 from siftmark.plans.traversal import Limits, best_first
 
 FILES = "repo long, path string"
@@ -130,6 +131,35 @@ def test_better_ways_reopen_a_node(spark):
     assert got[1]["via"] == ["1 --file_dep--> 3", "3 --file_dep--> 1"] and got[1]["depth"] == 0 and round(got[1]["score"], 6) == round(0.88 * 1.28 * 0.74 * 1.28, 6)
 
 
+def test_many_seeds_leave_few_steps(spark):
+    """With more seeds than visits only the first ones and what they reach above the last one's score is ranked; what is found is the same as with all steps and seeds at hand."""
+    import random
+
+    r = random.Random(7)
+    kinds = ["file_dep", "file_dep_inferred", "references_symbol", "module_dep", "dir_contains_file"]
+    made = {(repo, r.randrange(80), r.randrange(80), r.choice(kinds)): r.choice([1, 1, 2, 5, 30, 1000]) for repo in (1, 2, 3) for _ in range(260)}
+    rows = spark.createDataFrame([(*k[:3], k[3], w) for k, w in made.items() if k[1] != k[2]], "repo long, from_id long, to_id long, type string, weight long")
+    nodes = spark.createDataFrame([(repo, i, r.choice(["file", "symbol"])) for repo in (1, 2, 3) for i in range(80)], "repo long, id long, type string")
+    # as many as are visited, of one score and of several; and fewer
+    seeds = spark.createDataFrame([(repo, i, 1.0 if repo == 1 else 0.5 + i % 4 / 4) for repo in (1, 2, 3) for i in range(80 if repo < 3 else 4)], "repo long, id long, score double")
+    limits = Limits(nodes=12)
+    first = traversal_plans._first_seeds(seeds, limits)
+    assert {(x["repo"], x["id"]) for x in first.collect() if x["repo"] == 2} == {(2, i) for i in range(3, 48, 4)} and {x["floor"] for x in first.collect() if x["repo"] == 2} == {1.25}
+    near = {(x["repo"], x["id"]) for x in traversal_plans._near_steps(rows, nodes, first, limits).collect()}
+    assert {repo: len([x for x in near if x[0] == repo]) < 60 for repo in (1, 2)} == {1: True, 2: True}
+    ranked = traversal_plans.ranked_steps(rows, nodes).toPandas()
+    start = seeds.toPandas()
+    got = {(x["repo"], x["id"]): (x["score"], x["depth"], x["via"], x["visited"], x["followed"], x["cut"]) for x in best_first(rows, nodes, seeds, limits).collect()}
+    want = {}
+    for repo in (1, 2, 3):
+        own = ranked[ranked["repo"] == repo]
+        fits = own["place"] <= own["kind"].map(traversal_plans.FAN_OUT).fillna(traversal_plans.OTHER_FAN_OUT)
+        crowd = own[~fits].groupby(["id", "factor"]).size().rename("n").reset_index()
+        visits = traversal_plans._Visits(own[fits], crowd, limits).run(start[start["repo"] == repo].sort_values("id"))
+        want |= {(repo, i): (s, depth, visits.way(i), visits.visited, visits.followed, visits.allowance.refused) for i, (s, depth, *_) in visits.found.items()}
+    assert got == want and len(got) > 165
+
+
 def test_queries_of_a_review(spark):
     from siftmark.queries import QUERIES
 
