@@ -160,6 +160,23 @@ def test_many_seeds_leave_few_steps(spark):
     assert got == want and len(got) > 165
 
 
+def test_seeds_read_no_references(spark, tmp_path):
+    """Seeds come from files and symbols: there is no lineitem here. A changed file that is listed twice is one seed."""
+    from siftmark.queries import QUERIES
+
+    con = duckdb.connect()
+    for name, columns, rows in (
+        ("customer", "c_custkey", "(7::BIGINT), (7), (28), (12)"),
+        ("orders", "o_orderkey, o_custkey, o_orderpriority, o_totalprice", "(8::BIGINT, 7::BIGINT, '5-LOW', 90000.0::DOUBLE), (16, 12, '5-LOW', 90000.0)"),
+    ):
+        con.sql(f"COPY (SELECT * FROM (VALUES {rows}) t({columns})) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    got = sorted(map(tuple, QUERIES["cp7_seeds"](spark, str(tmp_path)).collect()))
+    assert got == [
+        (2, "dir:.", "directory"), (2, "dir:m0", "directory"), (2, "dir:m0/p1", "directory"), (2, "m0/p1/f7.py", "file"), (2, "m0/p1/f7.py:s1:9:8", "symbol"), (2, "module:m0", "module"),
+        (3, "dir:.", "directory"), (3, "dir:m0", "directory"), (3, "dir:m0/p1", "directory"), (3, "m0/p1/f28.ts", "file"), (3, "module:m0", "module"),
+    ]
+
+
 def test_queries_of_a_review(spark):
     from siftmark.queries import QUERIES
 
