@@ -177,6 +177,14 @@ def test_seeds_read_no_references(spark, tmp_path):
     ]
 
 
+def test_promotion_numbers_no_examples(spark):
+    """Promotion needs weights alone: no window over examples, and owners of names only."""
+    from siftmark.queries import QUERIES
+
+    plan = QUERIES["cp6_promoted"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "collect_list" not in plan and plan.count("LeftOuter") == 0
+
+
 def test_queries_of_a_review(spark):
     from siftmark.queries import QUERIES
 
