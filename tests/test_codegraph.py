@@ -160,6 +160,24 @@ def test_many_seeds_leave_few_steps(spark):
     assert got == want and len(got) > 165
 
 
+def test_graph_that_is_followed(spark, parts):
+    """The same edges and weights as the whole graph's but for those to packages; what they are made of is gone when they are written."""
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    twice = [df.unionByName(df.limit(3)) for df in parts]
+    for rows, how in ((parts, {}), (twice, {}), (parts, {"at_root": True, "strays": True})):
+        of = lambda df: sorted(tuple(r) for r in df.select("repo", "type", "from_key", "to_key", "weight").where("not contains(type, 'external')").collect())
+        mine = G.followed_graph(*rows, **how)
+        assert of(mine) == of(G.graph_of(*rows, **how))
+        listed = {(r["repo"], r["path"]) for r in rows[0].collect()}
+        ends = [(r["repo"], r[f"{e}_key"], r[f"{e}_type"], G.ENDS[r["type"]][i]) for r in mine.collect() for i, e in enumerate(("from", "to"))]
+        assert all(kind == (None if known == "file" and (repo, key) not in listed else known) for repo, key, kind, known in ends)
+    before = {*shared.rglob("*.parquet")}
+    G.followed_graph(*parts)
+    assert {f.parent.name.split("-")[1] for f in {*shared.rglob("*.parquet")} - before} == {"drafts", "promoted"}
+
+
 def test_seeds_read_no_references(spark, tmp_path):
     """Seeds come from files and symbols: there is no lineitem here. A changed file that is listed twice is one seed."""
     from siftmark.queries import QUERIES
